@@ -12,6 +12,8 @@ from marlstone.llm.license_scan import scan_licenses
 from marlstone.llm.near_dedup import near_duplicates
 from marlstone.llm.packing import packed_pieces, tokenizer_path
 from marlstone.llm.substring_dedup import substring_dedup
+from marlstone.llm.token_output import packed_sequences
+from marlstone.llm.topk_hamming import sign_codes, top_k
 from marlstone.llm.toxicity import score_toxicity
 from marlstone.llm.url_filter import filter_urls
 
@@ -46,10 +48,23 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a sequence: what it holds, and checksums of its row of ids and of positions."""
+    out = packed_sequences(read(spark, sf_dir, "documents"), tokenizer_path(), size=SIZE)
+    crc = lambda c: F.crc32(c).alias(f"{c}_crc32")
+    return out.select("doc_ids", "pieces", "starts", "cu_seqlens", "n_tokens", crc("ids"), crc("positions"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages")).drop("score")
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other rows of every row whose vec_id 20 divides, by the sign bits of the embedding."""
+    codes = sign_codes(read(spark, sf_dir, "embeddings"))
+    return top_k(codes, codes.where("id % 20 = 0"), k=10)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
@@ -95,6 +110,15 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN s
 """
 
 
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: coalesce(x > 0, false)::INT) AS c FROM embeddings WHERE len(embedding) > 0),
+d AS (SELECT q.vec_id AS query_id, x.vec_id AS id, list_sum(list_transform(list_zip(q.c, x.c), lambda z: (z[1] <> z[2])::INT))::INT AS distance
+      FROM v q, v x WHERE q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id AND len(q.c) = len(x.c)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM d)
+SELECT query_id, rank, id, distance FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -102,11 +126,13 @@ def queries() -> dict:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
+        "op6_token_output": op6_token_output,
         "op7_url_filter": op7_url_filter,
+        "op8_exact_top_k": op8_exact_top_k,
         "op9_html_extraction": op9_html_extraction,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op8_exact_top_k": OP8_SQL}
