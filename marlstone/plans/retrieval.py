@@ -120,9 +120,9 @@ portable(
 )
 
 
-@query("f10_definition_boost", r"WITH n AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part), q AS (SELECT list_distinct(string_split('where is part 12 and 7 defined', ' ')) AS a) SELECT p_partkey, CASE WHEN len(t) >= 2 AND len(list_filter(t, lambda x: NOT list_contains(a, x))) = 0 THEN 1.3 ELSE 1.0 END::DOUBLE AS boost FROM n, q")
+@query("f10_definition_boost", r"WITH n AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part), q AS (SELECT list_distinct(string_split('where is the small ring or red widget defined', ' ')) AS a) SELECT p_partkey, CASE WHEN len(t) >= 2 AND len(list_filter(t, lambda x: NOT list_contains(a, x))) = 0 THEN 1.3 ELSE 1.0 END::DOUBLE AS boost FROM n, q")
 def _(spark, d):
-    asked = F.array(*[F.lit(w) for w in ("where", "is", "part", "12", "and", "7", "defined")])
+    asked = F.array(*[F.lit(w) for w in ("where", "is", "the", "small", "ring", "or", "red", "widget", "defined")])
     names = F.array_distinct(F.split(F.lower("p_name"), " "))
     hit = (F.size(names) >= 2) & (F.size(F.array_except(names, asked)) == 0)
     return table(spark, d, "part").select("p_partkey", F.when(hit, 1.3).otherwise(1.0).alias("boost"))
