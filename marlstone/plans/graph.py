@@ -1 +1,262 @@
-"""Queries."""
+"""Graph queries and their SQL.
+
+The call graph is the tables' own: suppliers call parts, orders import
+customers, suppliers and customers are defined by nations, nations by regions.
+A second graph with cycles ties supplier numbers to part numbers modulo 100.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marlstone.operators import graph as G
+from marlstone.registry import portable, query, table
+
+EDGES_SQL = """edges AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, 'calls' AS relation, CASE WHEN max(l_returnflag = 'A') THEN 'RESOLVED' ELSE 'EXTRACTED' END AS confidence FROM lineitem GROUP BY 1, 2
+UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'imports', 'RESOLVED' FROM supplier
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'defines', 'RESOLVED' FROM nation)"""
+LOOP_SQL = "e AS (SELECT DISTINCT l_suppkey AS source, l_partkey % 100 AS target FROM lineitem)"
+CTE = "WITH e AS (SELECT l_suppkey AS source, l_partkey AS target, l_returnflag AS flag FROM {lineitem})"
+
+
+def edges(spark, d):
+    items = table(spark, d, "lineitem").groupBy(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).agg(
+        F.lit("calls").alias("relation"), F.when(F.max(F.col("l_returnflag") == "A"), "RESOLVED").otherwise("EXTRACTED").alias("confidence")
+    )
+    part = lambda t, a, x, b, y, r: table(spark, d, t).select(F.concat(F.lit(a), x).alias("source"), F.concat(F.lit(b), y).alias("target"), F.lit(r).alias("relation"), F.lit("RESOLVED").alias("confidence"))
+    return items.unionByName(part("supplier", "s", "s_suppkey", "n", "s_nationkey", "imports")).unionByName(part("nation", "n", "n_nationkey", "r", "n_regionkey", "defines"))
+
+
+def loops(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 100).alias("target")).distinct()
+
+
+def nations(spark, d):
+    return table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("seed"))
+
+
+SOURCES = [
+    ("a.py", "import os\nfrom b import helper\n\ndef main(path):\n    '''Run.'''\n    return helper(os.path.join(path, 'x'))\n\nclass Box:\n    def get(self):\n        return main('.')\n"),
+    ("b.py", "def helper(x):\n    return inner(x)\n\ndef inner(x):\n    return str(x)\n"),
+    ("c.py", "def broken(:\n"),
+]
+
+
+def sources(spark):
+    return spark.createDataFrame(SOURCES, "path string, text string")
+
+
+portable(
+    "g1_resolve_symbol",
+    """WITH q AS (SELECT * FROM (VALUES ('Supplier#000000001'), ('0000000012'), ('red widget'), ('nothing')) AS q(asked)),
+    x AS (SELECT asked, min(s_name) AS hit FROM q JOIN {supplier} ON s_name = asked GROUP BY asked),
+    s AS (SELECT asked, min(s_name) AS hit FROM q JOIN {supplier} ON s_name LIKE concat('%', asked) GROUP BY asked),
+    l AS (SELECT asked, CASE WHEN count(*) = 1 THEN min(p_name) END AS hit FROM q JOIN {part} ON p_name = asked GROUP BY asked)
+    SELECT q.asked, coalesce(x.hit, s.hit, l.hit) AS resolved FROM q LEFT JOIN x ON q.asked = x.asked LEFT JOIN s ON q.asked = s.asked LEFT JOIN l ON q.asked = l.asked""",
+)
+
+
+@query("g2_traverse", f"WITH RECURSIVE {LOOP_SQL}, r(seed, node, hop) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT seed, target, hop + 1 FROM r JOIN e ON node = source WHERE hop < 3) SELECT seed, node, min(hop)::INT AS hop FROM r GROUP BY seed, node")
+def _(spark, d):
+    return G.traverse(loops(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("seed")), hops=3)
+
+
+portable("g3_neighbours", "WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM {lineitem}) SELECT 'out' AS side, s AS node, count(*) AS n FROM e GROUP BY s UNION ALL SELECT 'in' AS side, p AS node, count(*) AS n FROM e GROUP BY p")
+
+
+@query("g4_impact", f"WITH RECURSIVE {EDGES_SQL}, w AS (SELECT source, target, CASE confidence WHEN 'RESOLVED' THEN 1.0 ELSE 0.25 END::DOUBLE AS w FROM edges), r(seed, node, weight, hop) AS (SELECT DISTINCT 'p' || l_partkey, 'p' || l_partkey, 1.0::DOUBLE, 0 FROM lineitem UNION SELECT seed, source, least(weight, w), hop + 1 FROM r JOIN w ON node = target WHERE hop < 3) SELECT seed, node, max(weight) AS weight FROM r WHERE node <> seed GROUP BY seed, node")
+def _(spark, d):
+    seeds = table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("seed")).distinct()
+    return G.impact(edges(spark, d), seeds)
+
+
+portable(
+    "g5_dispatch",
+    """WITH m AS (SELECT * FROM (VALUES ('Base', 'run'), ('Child', 'run'), ('Grand', 'run'), ('Child', 'stop')) AS m(owner, method)),
+    i AS (SELECT * FROM (VALUES ('Child', 'Base'), ('Grand', 'Child')) AS i(sub, super)), c AS (SELECT sub, super FROM i UNION SELECT a.sub, b.super FROM i a JOIN i b ON a.super = b.sub)
+    SELECT m.owner AS seed, m.method, n.owner AS also FROM m JOIN c ON c.super = m.owner JOIN m n ON n.owner = c.sub AND n.method = m.method""",
+)
+
+
+@query("g6_callgraph", f"WITH RECURSIVE {EDGES_SQL}, r(seed, node, hop) AS (SELECT 'n' || n_nationkey, 'n' || n_nationkey, 0 FROM nation UNION SELECT seed, CASE WHEN source = node THEN target ELSE source END, hop + 1 FROM r JOIN (SELECT * FROM edges WHERE relation <> 'calls') x ON node IN (source, target) WHERE hop < 2), n AS (SELECT DISTINCT seed, node FROM r) SELECT a.seed, e.source, e.target FROM edges e JOIN n a ON a.node = e.source JOIN n b ON b.node = e.target AND a.seed = b.seed WHERE relation <> 'calls'")
+def _(spark, d):
+    kept = edges(spark, d).where("relation != 'calls'")
+    near = G.checkpointed(G.traverse(kept, nations(spark, d), hops=2, direction="both").select("seed", "node"))
+    inside = kept.join(near.withColumnRenamed("node", "source"), "source")
+    return inside.join(near.withColumnRenamed("node", "target"), ["seed", "target"]).select("seed", "source", "target")
+
+
+portable("g7_callhierarchy", "SELECT l_suppkey AS node, l_returnflag AS file, count(DISTINCT l_partkey) AS callees, count(*) AS calls FROM {lineitem} GROUP BY l_suppkey, l_returnflag")
+
+
+@query("g8_cheapest_path", f"WITH RECURSIVE {EDGES_SQL}, c AS (SELECT source, target, CASE relation WHEN 'imports' THEN 2 ELSE 100 END AS cost FROM edges WHERE relation <> 'calls'), r(seed, node, cost, path, hop) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0, 's' || s_suppkey, 0 FROM supplier UNION ALL SELECT seed, target, r.cost + c.cost, path || '>' || target, hop + 1 FROM r JOIN c ON node = source WHERE hop < 4) SELECT seed, node, min(cost)::BIGINT AS cost, arg_min(path, cost) AS path FROM r GROUP BY seed, node")
+def _(spark, d):
+    costs = edges(spark, d).where("relation != 'calls'").withColumn("cost", F.when(F.col("relation") == "imports", 2).otherwise(100).cast("bigint"))
+    return G.cheapest_paths(costs, table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("seed")))
+
+
+portable("g9_fan_in_out", CTE + ", i AS (SELECT target AS node, count(*) AS fan_in FROM e GROUP BY target) SELECT node, fan_in FROM i ORDER BY fan_in DESC, node LIMIT 20")
+portable("g10_chokepoints", CTE + " SELECT source AS node, count(DISTINCT target) AS fan_out FROM e GROUP BY source HAVING count(DISTINCT target) >= 20")
+portable("g11_orphan_docs", "SELECT d.doc_id FROM {documents} d [[anti]] {labels} l ON d.doc_id = l.doc_id", anti="LEFT ANTI JOIN ~~ ANTI JOIN")
+
+
+def containment(spark, d):
+    return edges(spark, d).where("relation != 'calls'").select(F.col("source").alias("a"), F.col("target").alias("b"))
+
+
+@query("g12_betweenness")
+def _(spark, d):
+    return G.betweenness(containment(spark, d)).withColumn("score", F.round("score", 6))
+
+
+portable("g12_degree_fallback", "WITH e AS (SELECT s_suppkey AS a, s_nationkey AS b FROM {supplier}) SELECT node, count(*) AS degree FROM (SELECT concat('s', a) AS node FROM e UNION ALL SELECT concat('n', b) AS node FROM e) AS x GROUP BY node")
+
+
+@query("g13_articulation")
+def _(spark, d):
+    return G.articulation_points(containment(spark, d))
+
+
+portable(
+    "g14_entry_points",
+    CTE + ", n AS (SELECT source % 50 AS a, target % 70 AS b FROM e), o AS (SELECT DISTINCT a FROM n), i AS (SELECT DISTINCT b FROM n WHERE a <> b) SELECT o.a AS node, i.b IS NULL AS is_entry_point FROM o LEFT JOIN i ON o.a = i.b",
+)
+
+
+@query("g15_projection", f"WITH {EDGES_SQL} SELECT least(source, target) AS a, greatest(source, target) AS b, sum(CASE relation WHEN 'calls' THEN 3 WHEN 'imports' THEN 2 ELSE 1 END)::BIGINT AS weight FROM edges GROUP BY 1, 2")
+def _(spark, d):
+    return G.weighted_pairs(edges(spark, d))
+
+
+portable("g16_fixed_communities", "SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN 'tests' WHEN lang = 'en' THEN 'docs' WHEN n_chars > 5000 THEN 'long' ELSE 'other' END AS community FROM {documents}")
+
+
+@query("g17_clustering")
+def _(spark, d):
+    return G.label_propagation(G.weighted_pairs(edges(spark, d)))
+
+
+portable(
+    "g18_post_processing",
+    """WITH c AS (SELECT l_suppkey % 30 AS community, l_partkey % 500 AS node FROM {lineitem} GROUP BY l_suppkey % 30, l_partkey % 500),
+    p AS (SELECT l_suppkey % 25 AS was, l_partkey % 500 AS node FROM {lineitem} GROUP BY l_suppkey % 25, l_partkey % 500),
+    o AS (SELECT community, was, count(*) AS shared, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, was) AS n FROM c JOIN p ON c.node = p.node GROUP BY community, was)
+    SELECT community, was, shared FROM o WHERE n = 1""",
+)
+
+
+@query("g19_split", f"WITH RECURSIVE {EDGES_SQL}, e AS (SELECT source AS a, target AS b FROM edges WHERE relation = 'defines' UNION SELECT target, source FROM edges WHERE relation = 'defines'), r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, min(b) AS component FROM r GROUP BY a")
+def _(spark, d):
+    strong = edges(spark, d).where("relation = 'defines'")
+    return G.components(strong.select(F.col("source").alias("a"), F.col("target").alias("b")))
+
+
+@query("g20_components", f"WITH RECURSIVE {EDGES_SQL}, e AS (SELECT source AS a, target AS b FROM edges WHERE relation <> 'calls' UNION SELECT target, source FROM edges WHERE relation <> 'calls'), r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, min(b) AS component FROM r GROUP BY a")
+def _(spark, d):
+    return G.components(containment(spark, d))
+
+
+@query("g21_risk", f"WITH {EDGES_SQL}, w AS (SELECT target AS seed, source AS node, max(CASE confidence WHEN 'RESOLVED' THEN 1.0 ELSE 0.25 END) AS w FROM edges WHERE relation = 'calls' GROUP BY 1, 2) SELECT seed, round(sum(w) * ln(1 + count(*)), 6)::DOUBLE AS risk FROM w GROUP BY seed")
+def _(spark, d):
+    calls = edges(spark, d).where("relation = 'calls'")
+    reach = G.impact(calls, calls.select(F.col("target").alias("seed")).distinct(), hops=1)
+    fan_in = calls.groupBy(F.col("target").alias("seed")).agg(F.countDistinct("source").alias("fan_in"))
+    return G.risk(reach, fan_in).withColumn("risk", F.round("risk", 6))
+
+
+portable(
+    "g22_edge_resolution",
+    """WITH d AS (SELECT p_name, count(*) AS n, min(p_partkey) AS id FROM {part} GROUP BY p_name)
+    SELECT q.name, CASE WHEN d.n = 1 THEN concat('p', d.id) ELSE concat('external::', q.name) END AS target FROM (SELECT DISTINCT p_name AS name FROM {part} UNION SELECT 'unknown') AS q LEFT JOIN d ON d.p_name = q.name""",
+)
+portable(
+    "g23_di_binding",
+    """WITH b AS (SELECT * FROM (VALUES ('Store', 'SqlStore'), ('Clock', 'SystemClock')) AS b(port, impl)), i AS (SELECT * FROM (VALUES ('Service', 'Store'), ('Job', 'Clock'), ('Job', 'Mailer')) AS i(consumer, port))
+    SELECT i.consumer, coalesce(b.impl, concat('external::', i.port)) AS target FROM i LEFT JOIN b ON b.port = i.port""",
+)
+
+
+@query("g24_sql_references")
+def _(spark, d):
+    from marlstone.operators.sql_refs import table_references
+
+    rows = [(1, "select a.x from t1 a join t2 on a.k = t2.k"), (2, "with c as (select * from t3) insert into t4 select * from c"), (3, "not sql at all")]
+    return table_references(spark, spark.createDataFrame(rows, "id int, statement string"))
+
+
+portable(
+    "g25_doc_references",
+    """WITH n AS (SELECT p_name, count(*) AS n FROM {part} GROUP BY p_name)
+    SELECT e.event_type, n.p_name, CASE WHEN n.n = 1 THEN 'EXTRACTED' ELSE 'AMBIGUOUS' END AS confidence FROM (SELECT DISTINCT event_type FROM {events}) e JOIN n ON length(n.p_name) >= 6 AND contains(n.p_name, substr(e.event_type, 1, 2))""",
+)
+portable("g26_hot_data", CTE + " SELECT target AS node, count(*) AS writes FROM e WHERE flag = 'R' GROUP BY target HAVING count(*) >= 8")
+portable(
+    "g27_community_lookup",
+    CTE + ", m AS (SELECT target % 20 AS community, target AS node, count(*) AS degree FROM e GROUP BY target % 20, target), r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node) AS n FROM m) SELECT community, node, degree FROM r WHERE n <= 5",
+)
+portable("g28_codebase_map", "SELECT source AS directory, count(*) AS files, min(lang) AS layer, CAST(sum(CASE WHEN n_chars > 5000 THEN 1 ELSE 0 END) AS BIGINT) AS entry_points FROM {documents} GROUP BY source")
+portable(
+    "g29_inherited_bind",
+    """WITH m AS (SELECT * FROM (VALUES ('Base', 'run'), ('Mixin', 'run'), ('Base', 'save')) AS m(owner, method)), i AS (SELECT * FROM (VALUES ('Child', 'Base'), ('Child', 'Mixin'), ('Other', 'Base')) AS i(sub, super))
+    SELECT i.sub, m.method, CASE WHEN count(*) = 1 THEN min(m.owner) END AS bound FROM i JOIN m ON m.owner = i.super GROUP BY i.sub, m.method""",
+)
+
+
+@query("g30_call_edges")
+def _(spark, d):
+    from marlstone.operators.code import python_calls
+
+    return python_calls(sources(spark))
+
+
+_PY = "(VALUES ('a.py', 'import os'), ('a.py', 'from b import helper'), ('b.py', 'x = 1'), ('c.py', 'import b'))"
+portable("g31_import_edges", f"SELECT path, [[m]] AS module FROM {_PY} AS s(path, line) WHERE line LIKE 'import %' OR line LIKE 'from %'", m=r"regexp_extract(line, '^(import|from) ([a-z_.]+)', 2) ~~ regexp_extract(line, '^(import|from) ([a-z_.]+)', 2)")
+portable("g32_dependencies", "SELECT o_custkey AS target, count(*) AS importers FROM {orders} GROUP BY o_custkey")
+portable("g33_reverse_imports", f"SELECT s.path, concat(substr(s.line, 8), '.py') AS imports FROM {_PY} AS s(path, line) JOIN (SELECT DISTINCT path FROM {_PY} AS t(path, line)) p ON p.path = concat(substr(s.line, 8), '.py') WHERE s.line LIKE 'import %'")
+portable(
+    "g34_error_recovery",
+    "SELECT id, [[t]] AS recovered FROM (VALUES (1, 'garbage ( create table t9 (x int)'), (2, 'nothing here'), (3, 'CREATE TABLE Z (y int')) AS s(id, body) WHERE lower(body) LIKE '%create table%'",
+    t="regexp_extract(lower(body), 'create table ([a-z0-9_]+)', 1) ~~ regexp_extract(lower(body), 'create table ([a-z0-9_]+)', 1)",
+)
+
+
+@query("g35_embedded_sql")
+def _(spark, d):
+    from marlstone.operators.sql_refs import embedded_references
+
+    rows = [("a.py", 'db.execute("select x from t1")'), ("b.py", 'print("select the best from all")'), ("c.py", "db.execute(f\"select * from {name}\")")]
+    return embedded_references(spark, spark.createDataFrame(rows, "path string, text string"))
+
+
+portable(
+    "g36_entity_tables",
+    "SELECT q.entity, CASE WHEN d.n = 1 THEN concat('table::', q.entity) ELSE concat('external::', q.entity) END AS target FROM (SELECT DISTINCT p_type AS entity FROM {part} UNION SELECT 'NOPE') AS q LEFT JOIN (SELECT n_name, count(*) AS n FROM {nation} GROUP BY n_name) d ON d.n_name = q.entity",
+)
+portable("g37_line_scan", "SELECT doc_id, [[n]] AS definitions FROM {documents} WHERE n_chars > 10000", n=r"CAST(size(regexp_extract_all(text, '(?m)^[A-Z][a-z]+', 0)) AS BIGINT) ~~ CAST(len(regexp_extract_all(text, '(?m)^[A-Z][a-z]+')) AS BIGINT)")
+portable("g38_near_symbols", "SELECT p_name, min(levenshtein(p_name, 'red wigdet')) AS distance FROM {part} WHERE levenshtein(p_name, 'red wigdet') <= 5 GROUP BY p_name")
+portable(
+    "g39_memory_edges",
+    "WITH t AS (SELECT m.id, m.target FROM (VALUES ('m1', 'red widget'), ('m2', 'small ring'), ('m3', 'no such')) AS m(id, target)) SELECT t.id, t.target, count(p.p_partkey) AS nodes FROM t LEFT JOIN {part} p ON p.p_name = t.target GROUP BY t.id, t.target",
+)
+portable(
+    "g40_honesty",
+    "SELECT l_suppkey AS source, l_partkey AS target, CASE WHEN min(l_returnflag) = 'A' AND max(p.p_partkey) IS NULL THEN 'EXTRACTED' WHEN min(l_returnflag) = 'A' THEN 'RESOLVED' ELSE 'EXTRACTED' END AS confidence FROM {lineitem} LEFT JOIN (SELECT p_partkey FROM {part} WHERE p_size < 40) p ON p_partkey = l_partkey GROUP BY l_suppkey, l_partkey",
+)
+portable(
+    "g41_impacted_docs",
+    "SELECT d.doc_id FROM {documents} d WHERE EXISTS (SELECT 1 FROM (VALUES ('license'), ('token'), ('mail')) AS c(symbol) WHERE contains(d.text, c.symbol))",
+)
+portable(
+    "g42_scope_binding",
+    """WITH d AS (SELECT * FROM (VALUES ('run', 'pkg.a', 1), ('run', 'pkg.b', 2), ('stop', 'pkg.a', 3)) AS d(name, scope, id)), u AS (SELECT * FROM (VALUES ('run', 'pkg.a'), ('run', 'pkg.c'), ('stop', 'pkg.b')) AS u(name, scope))
+    SELECT u.name, u.scope, CASE WHEN count(d.id) = 1 THEN min(d.id) END AS bound FROM u LEFT JOIN d ON d.name = u.name AND d.scope = u.scope GROUP BY u.name, u.scope""",
+)
+
+
+@query("h13_supersession", "WITH RECURSIVE l AS (SELECT n AS id, CASE WHEN n % 5 <> 0 THEN n + 1 END AS next FROM (SELECT DISTINCT user_id AS n FROM events)), r(id, cur, hop) AS (SELECT id, id, 0 FROM l UNION ALL SELECT r.id, l.next, hop + 1 FROM r JOIN l ON r.cur = l.id WHERE l.next IS NOT NULL AND hop < 8) SELECT id, arg_max(cur, hop) AS terminal FROM r GROUP BY id")
+def _(spark, d):
+    links = table(spark, d, "events").select(F.col("user_id").alias("id")).distinct().withColumn("at", F.when(F.col("id") % 5 != 0, F.col("id") + 1).otherwise(F.col("id")))
+    for _ in range(3):
+        far = links.select(F.col("id").alias("at"), F.col("at").alias("far"))
+        links = G.checkpointed(links.join(far, "at", "left").select("id", F.coalesce("far", "at").alias("at")))
+    return links.withColumnRenamed("at", "terminal")

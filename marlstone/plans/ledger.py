@@ -72,7 +72,7 @@ portable(
 )
 portable(
     "h15_posture_gap",
-    "SELECT user_id, count(*) AS changed, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS calls FROM {events} WHERE event_id % 13 = 0 GROUP BY user_id HAVING sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) <= 0 AND count(*) >= 3",
+    "SELECT user_id, count(*) AS changed, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS calls FROM {events} GROUP BY user_id HAVING sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) <= 12 AND count(*) >= 5",
 )
 portable(
     "h16_idempotent_request",

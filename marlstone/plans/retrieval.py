@@ -207,7 +207,7 @@ def _(spark, d):
 
 portable(
     "f20_graph_citations",
-    """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS t FROM {lineitem} WHERE l_suppkey <= 20),
+    """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS t FROM {lineitem}),
     n AS (SELECT s, t, row_number() OVER (PARTITION BY s ORDER BY t) AS k FROM e),
     c AS (SELECT s, t, row_number() OVER (PARTITION BY s ORDER BY t) AS m FROM n WHERE k <= 3 AND t NOT IN (SELECT p_partkey FROM {part} WHERE p_size > 40))
     SELECT s, t FROM c WHERE m <= 2""",

@@ -1 +1,54 @@
-"""Queries."""
+"""Streaming queries, each drained over the whole ledger and equal to its batch twin's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marlstone.registry import query
+from marlstone.sources.artifacts import scratch
+from marlstone.streaming import ledger as L
+
+
+def stream(spark, d):
+    # A file source reads folders: the table is linked into one by its own path pattern.
+    return L.event_stream(spark, f"{d}/events.parquet*")
+
+
+@query("l1_replay_safe", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
+def _(spark, d):
+    return L.drained(L.without_replays(L.stamped(stream(spark, d)))).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("l2_quiet_period", "WITH g AS (SELECT user_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events) SELECT user_id, sum(new)::BIGINT AS bursts, count(*)::BIGINT AS n FROM g GROUP BY user_id")
+def _(spark, d):
+    bursts = L.drained(L.quiet_bursts(L.stamped(stream(spark, d))), mode="complete")
+    return bursts.groupBy("user_id").agg(F.count("*").alias("bursts"), F.sum("n").alias("n"))
+
+
+@query("l3_leading_edge")
+def _(spark, d):
+    return L.drained(L.leading_edge(L.stamped(stream(spark, d)), seconds=7200))
+
+
+@query("l4_publication", "SELECT count(*) AS n, sum(user_id)::BIGINT AS users FROM events")
+def _(spark, d):
+    target = scratch(spark, "published")
+    L.publish(stream(spark, d).select("event_id", "user_id"), target)
+    return spark.read.parquet(target).agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
+
+
+@query("l5_late_events", "SELECT CASE WHEN ts < TIMESTAMP '2024-01-10 00:00:00' THEN 'sealed' ELSE 'above' END AS side, count(*) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    side = F.when(F.col("ts") < F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), "sealed").otherwise("above")
+    return L.drained(stream(spark, d).select(side.alias("side"))).groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query("l6_trigger", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def _(spark, d):
+    return L.drained(stream(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), mode="complete")
+
+
+@query("l7_exactly_once", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def _(spark, d):
+    kept = L.without_replays(L.stamped(stream(spark, d)))
+    return L.drained(kept).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

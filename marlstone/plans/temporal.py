@@ -1 +1,84 @@
-"""Queries."""
+"""Freshness, drift and memory queries and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marlstone.registry import portable, query, table
+
+SINCE = "TIMESTAMP_NTZ '2024-01-20 00:00:00' ~~ TIMESTAMP '2024-01-20 00:00:00'"
+
+portable(
+    "i1_file_freshness",
+    """WITH f AS (SELECT user_id, max(ts) AS last_modified, sum(CASE WHEN ts >= [[since]] THEN 1 ELSE 0 END) AS n FROM {events} GROUP BY user_id)
+    SELECT user_id, last_modified, round(CAST(n AS DOUBLE) / max(n) OVER (), 6) AS churn FROM f""",
+    since=SINCE,
+)
+portable(
+    "i2_commits_since",
+    """WITH a AS (SELECT user_id, max(CASE WHEN event_type = 'signup' THEN ts END) AS anchor FROM {events} GROUP BY user_id)
+    SELECT e.user_id, count(DISTINCT e.event_id) AS commits_since FROM {events} e JOIN a ON e.user_id = a.user_id WHERE e.ts > a.anchor GROUP BY e.user_id""",
+)
+portable(
+    "i3_drift",
+    """WITH a AS (SELECT user_id, greatest(max(CASE WHEN event_type = 'signup' THEN ts END), max(CASE WHEN event_type = 'purchase' THEN ts END)) AS anchor FROM {events} GROUP BY user_id),
+    c AS (SELECT a.user_id, sum(CASE WHEN e.ts > a.anchor THEN 1 ELSE 0 END) AS n FROM a JOIN {events} e ON e.user_id = a.user_id GROUP BY a.user_id)
+    SELECT user_id, CAST(n AS BIGINT) AS commits_since, n >= 3 AND user_id % 11 <> 0 AS drifted FROM c""",
+)
+portable(
+    "i4_waves_behind",
+    """WITH p AS (SELECT DISTINCT l_orderkey AS w, l_partkey AS f FROM {lineitem})
+    SELECT a.w, count(DISTINCT b.w) AS behind FROM p a JOIN p b ON a.f = b.f AND b.w > a.w GROUP BY a.w""",
+)
+portable(
+    "i5_drift_worklist",
+    """SELECT user_id, count(*) AS commits_since, row_number() OVER (ORDER BY count(*) DESC, user_id) AS place FROM {events} WHERE ts >= [[since]] GROUP BY user_id""",
+    since=SINCE,
+)
+portable(
+    "i6_half_life",
+    """WITH g AS (SELECT user_id, [[gap]] AS hours FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM {events}) x),
+    m AS (SELECT user_id, count(hours) AS n, [[median]] AS mid FROM g GROUP BY user_id)
+    SELECT user_id, CASE WHEN n < 2 THEN 30.0 ELSE round(least(365.0, greatest(30.0, 6 * mid)), 4) END AS half_life FROM m""".replace("30.0", "CAST(30 AS DOUBLE)").replace("365.0", "CAST(365 AS DOUBLE)"),
+    gap="CAST(timestampdiff(MICROSECOND, was, ts) AS DOUBLE) / 3600000000 ~~ CAST(date_diff('microsecond', was, ts) AS DOUBLE) / 3600000000",
+    median="percentile(hours, 0.5) ~~ median(hours)",
+)
+portable(
+    "i7_policy_order",
+    """SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN toxic = 0 THEN 0 ELSE 1 END, quality DESC, doc_id % 6, doc_id % 8, doc_id) AS place FROM {labels}""",
+)
+portable(
+    "i8_duplicates",
+    """WITH k AS (SELECT doc_id, lang, [[norm]] AS summary FROM {documents})
+    SELECT min(doc_id) AS first_id, count(*) AS n FROM k GROUP BY lang, summary HAVING count(*) > 1""",
+    norm="regexp_replace(lower(text), '[^a-z0-9]+', ' ') ~~ regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')",
+)
+portable(
+    "i9_consolidation",
+    """WITH t AS (SELECT l_orderkey, [[agg]] AS targets FROM (SELECT DISTINCT l_orderkey, l_suppkey % 10 AS t FROM {lineitem}) x GROUP BY l_orderkey)
+    SELECT targets, count(*) AS n, min(l_orderkey) AS first_order FROM t GROUP BY targets HAVING count(*) > 1""",
+    agg="array_join(array_sort(collect_list(t)), ',') ~~ string_agg(t::VARCHAR, ',' ORDER BY t)",
+)
+portable("i10_active_budget", "SELECT user_id % 10 AS lane, count(*) AS active, CAST(greatest(0, 1000 - count(*)) AS BIGINT) AS remaining, count(*) > 1000 AS curate FROM {events} WHERE event_type <> 'error' GROUP BY user_id % 10")
+portable("i11_proposals", "SELECT d.doc_id FROM {documents} d [[anti]] {labels} l ON d.doc_id = l.doc_id WHERE d.n_chars > 1000", anti="LEFT ANTI JOIN ~~ ANTI JOIN")
+portable(
+    "i12_backfill_paging",
+    """WITH c AS (SELECT doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, source FROM {documents})
+    SELECT doc_id, source, CAST(floor((upto - 1) / 65536) AS BIGINT) AS batch FROM c""",
+)
+
+
+@query("i13_eval_gate", "WITH g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, n, n >= 30 AS passed FROM g")
+def _(spark, d):
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")).select("label", "n", (F.col("n") >= 30).alias("passed"))
+
+
+@query("i14_lifecycle_mint")
+def _(spark, d):
+    from marlstone.operators.lifecycle import minted
+
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return minted(orders, key="o_orderkey", day="o_orderdate")
+
+
+portable("i15_decoded_order", "SELECT doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY [[n]], doc_id) AS place FROM {documents}", n="CAST(substr(source, 4) AS BIGINT) ~~ CAST(substr(source, 4) AS BIGINT)")
