@@ -136,6 +136,42 @@ def _measured(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "s"])
 
 
+def _read(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles and multiplicities of bags laid end to end, and each bag's number of shingles."""
+    sizes = np.array([len(c) // 12 for c in contents], np.int64)
+    keys = [np.frombuffer(c, np.uint64, len(c) // 12) for c in contents]
+    counts = [np.frombuffer(c, "<u4", len(c) // 12, len(c) // 12 * 8).astype(np.int64) for c in contents]
+    return np.concatenate(keys), np.concatenate(counts), sizes
+
+
+def _blockwise(threshold: float):
+    """Links between two blocks of one bucket: for each bag of the left one link into every class that it touches."""
+
+    def run(key, left, right):
+        out = []
+        if left.num_rows and right.num_rows:
+            keys, counts, sizes = _read(right.column("content").to_pylist())
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            mass = np.bincount(owner, counts, len(sizes))
+            order = np.argsort(keys, kind="stable")
+            keys, counts, owner = keys[order], counts[order], owner[order]
+            bags_, roots = right.column("bag").to_pylist(), right.column("root").to_pylist()
+            for a, root, content in zip(*(left.column(c).to_pylist() for c in ("bag", "root", "content")), strict=True):
+                own, n, _ = _read([content])
+                first = np.searchsorted(keys, own)
+                size = np.searchsorted(keys, own, "right") - first
+                at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                common = np.bincount(owner[at], np.minimum(counts[at], np.repeat(n, size)), len(mass))
+                seen = {root}
+                for i in np.flatnonzero(common / np.maximum(1, n.sum() + mass - common) >= threshold):
+                    if roots[i] not in seen:
+                        seen.add(roots[i])
+                        out.append((a, bags_[i]))
+        return pa.table([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def similarities(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     """Exact similarity of pairs (a, b) of bags."""
     left = contents.select(F.col("bag").alias("a"), F.col("content").alias("content_a"))
@@ -174,7 +210,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("bag"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, few_rows: int = 8, block_rows: int = 512) -> DataFrame:
     """Class of near-duplicates of each document.
 
     ``docs`` has doc_id and text; other columns are ignored. Two documents are
@@ -187,10 +223,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     Candidates share one of 21 bands of 6 registers (at 0.8 a pair is found with
     probability 0.998). In each bucket one member, chosen by a hash of the band,
     is compared with all others, so a bucket of n costs n - 1 comparisons. What
-    that leaves unlinked is compared with other members of its bucket unless
-    they are in one class already or the triangle inequality of the distance
-    1 - similarity shows that they cannot be linked. So every link between
-    different bags of a bucket shows in the classes.
+    that leaves unlinked is compared with the other members of its bucket: in
+    buckets of at most ``few_rows`` as pairs, unless they are in one class already
+    or the triangle inequality of the distance 1 - similarity shows that they
+    cannot be linked; in larger ones block by block (``block_rows`` bags), where
+    no pair leaves the task but one link of a bag into each other class. So every
+    link between different bags of a bucket shows in the classes.
 
     Returns one row per input row: doc_id, class_id (least doc_id of its class)
     and class_size (rows in the class). A null doc_id never names a class unless
@@ -219,18 +257,31 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     linked = first.where(F.col("s") >= threshold).select("a", "b")
     roots = checkpointed(components(linked))
 
-    told = (
+    reach = 1 - threshold
+    told = checkpointed(
         members.join(first.select(F.col("a").alias("hub"), F.col("b").alias("bag"), "s"), ["hub", "bag"])
         .join(roots, "bag", "left")
         .select("band", "hash", "bag", (1 - F.col("s")).alias("d"), F.coalesce("root", "bag").alias("root"))
     )
-    reach = 1 - threshold
-    loose = told.where(F.col("d") > reach).select("band", "hash", F.col("bag").alias("a"), F.col("d").alias("d_a"), F.col("root").alias("root_a"))
+    loose = F.col("d") > reach
+    open_ = told.groupBy("band", "hash").agg(F.count("*").alias("n"), F.count_if(loose).alias("loose")).where("loose > 0 AND n > 1")
+    buckets = told.join(open_.select("band", "hash", "n"), ["band", "hash"])
+    few = buckets.where(F.col("n") <= few_rows)
+    left = few.where(loose).select("band", "hash", F.col("bag").alias("a"), F.col("d").alias("d_a"), F.col("root").alias("root_a"))
     near = F.abs(F.col("d_a") - F.col("d")) <= reach + 1e-12
-    apart = (F.col("root_a") != F.col("root")) & ((F.col("d") <= reach) | (F.col("a") < F.col("bag")))
-    more = loose.join(told, ["band", "hash"]).where(near & apart).select("a", F.col("bag").alias("b")).distinct()
+    apart = (F.col("root_a") != F.col("root")) & (~loose | (F.col("a") < F.col("bag")))
+    same = (left["band"] == few["band"]) & (left["hash"] == few["hash"])
+    more = left.join(few, same & near & apart).select("a", F.col("bag").alias("b")).distinct()
     second = similarities(more, contents).where(F.col("s") >= threshold).select("a", "b")
-    roots = components(linked.unionByName(second))
+
+    number = F.ceil(F.col("n") / block_rows).cast("int")
+    many = buckets.where(F.col("n") > few_rows).join(contents, "bag").select("*", F.pmod(F.xxhash64("bag"), number).alias("own"), F.explode(F.sequence(F.lit(0), number - 1)).alias("other"))
+    # Aliases, as both sides come from one table.
+    one = many.where(loose).select(*[F.col(c).alias(n) for c, n in {"band": "band", "hash": "hash", "own": "i", "other": "j", "bag": "bag", "root": "root", "content": "content"}.items()])
+    two = many.select("band", "hash", F.col("other").alias("i"), F.col("own").alias("j"), "bag", "root", "content")
+    block = ["band", "hash", "i", "j"]
+    third = one.groupBy(*block).cogroup(two.groupBy(*block)).applyInArrow(_blockwise(threshold), "a binary, b binary")
+    roots = components(linked.unionByName(second).unionByName(third))
 
     tied = vertices.select("bag", "least", "n").join(roots, "bag", "left").withColumn("root", F.coalesce("root", "bag"))
     named = tied.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
