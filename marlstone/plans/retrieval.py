@@ -28,11 +28,13 @@ sc AS (SELECT qid, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
        FROM pt JOIN df USING (term) JOIN qt USING (term), st GROUP BY qid, doc_id),
 rk AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc)
 """
-BEST = [F.round("score", 9).desc(), F.col("doc_id")]
+def best() -> list:
+    return [F.round("score", 9).desc(), F.col("doc_id")]
+
 
 
 def ranked(spark, d, n=20):
-    return R.top_n(R.bm25(table(spark, d, "documents"), questions(spark)), n, by=BEST)
+    return R.top_n(R.bm25(table(spark, d, "documents"), questions(spark)), n, by=best())
 
 
 @query("f3_tokens", f"SELECT doc_id, len({TOKENS_SQL})::BIGINT AS n_tokens, len(list_distinct({TOKENS_SQL}))::BIGINT AS n_distinct FROM documents")
