@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import blocks, checkpointed, small_batches, word_spans
 
 #: Distinct space-separated strings, and parts of them, that a worker keeps the ids of.
-CACHE, PARTS = 3_000_000, 500_000
+CACHE, PARTS = 1_000_000, 150_000
 #: Only space and line feed separate: no tokenizer here joins what they part.
 SPACES = bytes(32 if b == 10 else b for b in range(256))
 

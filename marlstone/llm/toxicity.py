@@ -102,7 +102,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], *, least: int = 4, ratio: flo
 class Distance:
     """By how many bytes a word's window is shorter with the toxic dictionary; words met before are looked up."""
 
-    MOST = 2_000_000
+    MOST = 1_000_000
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         make = lambda d: zstandard.ZstdCompressor(
