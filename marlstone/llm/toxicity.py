@@ -26,17 +26,25 @@ def lowered(text: bytes | None) -> bytes:
     return text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
 
 
-def _spread(texts: list[bytes]) -> dict[bytes, set[int]]:
+def _spread(texts: list[bytes], pieces=None) -> dict[bytes, set[int]]:
     """How many texts bring each word in a context (the word before) not seen in an earlier text.
 
     So copies of a text, and a text that repeats itself, count once. The texts
     of a word are returned, as pieces of words are to be counted by text too.
+    With ``pieces`` only words that hold one of them are kept.
     """
+    wanted: dict[bytes, bool] = {}
     seen: set[int] = set()
     out: dict[bytes, set[int]] = {}
     for i, text in enumerate(texts):
         words = text.translate(LETTERS).split()
         for context in set(zip([b"", *words], words, strict=False)):
+            if pieces is not None:
+                word = context[1]
+                if word not in wanted:
+                    wanted[word] = not pieces.isdisjoint(_pieces(word))
+                if not wanted[word]:
+                    continue
             # A number in place of the two words keeps what is seen small.
             if (number := hash(context)) not in seen:
                 seen.add(number)
@@ -44,13 +52,20 @@ def _spread(texts: list[bytes]) -> dict[bytes, set[int]]:
     return out
 
 
-def _by_piece(words: dict[bytes, set[int]], wanted=None) -> dict[bytes, int]:
-    out: dict[bytes, set[int]] = {}
+def _by_piece(words: dict[bytes, set[int]], wanted=None, least: int = 1) -> dict[bytes, int]:
+    """In how many texts each piece is, for pieces in at least so many (and wanted)."""
+    bound: Counter = Counter()
     for word, own in words.items():
         for piece in _pieces(word):
             if wanted is None or piece in wanted:
-                out.setdefault(piece, set()).update(own)
-    return {p: len(x) for p, x in out.items()}
+                bound[piece] += len(own)
+    kept = {p for p, n in bound.items() if n >= least}
+    bound.clear()
+    out: dict[bytes, set[int]] = {}
+    for word, own in words.items():
+        for piece in kept.intersection(_pieces(word)):
+            out.setdefault(piece, set()).update(own)
+    return {p: len(x) for p, x in out.items() if len(x) >= least}
 
 
 def _pieces(word: bytes) -> set[bytes]:
@@ -84,8 +99,8 @@ def fit(toxic: list[bytes], ordinary: list[bytes], *, least: int = 4, ratio: flo
     texts that do. The ordinary dictionary gets the most frequent ordinary words.
     """
     bad = _spread(toxic)
-    often = {p: n for p, n in _by_piece(bad).items() if n >= least}
-    beside = _by_piece(_spread(ordinary), often)
+    often = _by_piece(bad, least=least)
+    beside = _by_piece(_spread(ordinary, often.keys()), often)
     told = {p for p, n in often.items() if n / max(1, len(toxic)) >= ratio * (beside.get(p, 0) + 0.5) / max(1, len(ordinary))}
     stretches: Counter = Counter()
     for word, own in bad.items():
