@@ -57,6 +57,18 @@ def test_near_copies(docs):
     held(near_duplicates(docs([t for _, t in rows], [i for i, _ in rows])), rows)
 
 
+def test_large_buckets_block_by_block(docs):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        for k in range(rng.randint(0, 6)):
+            copy[rng.randrange(90)] = f"x{i}{k}"
+        rows.append((i, " ".join(copy)))
+    held(near_duplicates(docs([t for _, t in rows]), few_rows=1, block_rows=7), rows)
+
+
 def test_repeats_count(docs):
     rows = [(0, "a b c d e " * 40), (1, "a b c d e " * 38), (2, "a b c d e " * 20), (3, "q " * 100_000), (4, "q " * 99_000)]
     held(near_duplicates(docs([t for _, t in rows])), rows)
