@@ -2,9 +2,10 @@
 
 Both models are variable-order Markov models of bytes: the chance of a byte
 after its k predecessors is mixed with the chance after k - 1 of them, down to
-a uniform one, by Bayesian smoothing. Counts lie in tables of fixed size that
-hashed contexts index, so a model's size does not follow the corpus while every
-labelled URL is counted.
+a uniform one, by Bayesian smoothing. A chance depends on a byte and its ORDER
+predecessors only, so the models are a distributed table of such grams, which
+are their own keys: no two contexts share a count, and the table grows with
+the urls.
 """
 
 from __future__ import annotations
@@ -14,14 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import mix
+from marlstone.llm.common import checkpointed, parts_for
 
-#: Longest context, and bits of the tables of contexts and of contexts with their next byte.
-ORDER, CONTEXT_BITS, NEXT_BITS = 5, 16, 18
+#: Longest context; a gram has one byte more and is a bigint.
+ORDER = 5
 #: How many observations the shorter context's chance weighs.
 PRIOR = 4.0
-ONE = (1 << CONTEXT_BITS) + (1 << NEXT_BITS)
-SLOTS = 2 * (ORDER + 1) * ONE
 
 #: The rules that the query applies (fixed values).
 RULES = (
@@ -50,63 +49,67 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte of the texts (an end mark included) its context and next slots by order, and its text."""
-    padded = b"".join(b"\x02" * ORDER + t + b"\x03" for t in texts)
-    raw = np.frombuffer(padded, np.uint8).astype(np.uint64)
+def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of the texts (an end mark included) its gram, and its text."""
+    raw = np.frombuffer(b"".join(b"\x02" * ORDER + t + b"\x03" for t in texts), np.uint8).astype(np.int64)
     sizes = np.array([len(t) + 1 for t in texts])
     begin = np.cumsum(sizes + ORDER) - sizes
     at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    context, following = np.zeros((ORDER + 1, len(at)), np.int64), np.zeros((ORDER + 1, len(at)), np.int64)
-    key = np.zeros(len(at), np.uint64)
+    gram = np.zeros(len(at), np.int64)
+    for k in range(ORDER, -1, -1):
+        gram = gram << 8 | raw[at - k]
+    return gram, np.repeat(np.arange(len(texts)), sizes)
+
+
+COUNTED = "chunk int, gram bigint, allowed bigint, blocked bigint"
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    gram, owner = _grams(table.column("string").to_pylist())
+    keys, which = np.unique(gram, return_inverse=True)
+    columns = [np.full(len(keys), table.column("chunk")[0].as_py(), np.int32), keys]
+    for kind in ("allowed", "blocked"):
+        columns.append(np.bincount(which, table.column(kind).to_numpy()[owner], len(keys)).astype(np.int64))
+    return pa.table(columns, names=["chunk", "gram", "allowed", "blocked"])
+
+
+def _scored(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    texts = left.column("string").to_pylist()
+    if not texts:
+        return left.select(["string", "own", "n", "held"]).append_column("score", pa.array([], pa.float64()))
+    gram, owner = _grams(texts)
+    keys, ratio = right.column("gram").to_numpy(), right.column("ratio").to_numpy()
+    order = np.argsort(keys)
+    found = ratio[order][np.searchsorted(keys[order], gram)]
+    score = np.bincount(owner, found, len(texts)) / np.bincount(owner, minlength=len(texts))
+    return left.select(["string", "own", "n", "held"]).append_column("score", pa.array(score))
+
+
+def ratios(grams: DataFrame) -> DataFrame:
+    """Log-likelihood ratio of each gram's last byte after the others: gram, ratio.
+
+    ``grams`` has gram (distinct) and its counts, allowed and blocked. Counts of
+    shorter contexts are sums over the grams that end alike.
+    """
+    kinds = ("allowed", "blocked")
+    lower = None
     for k in range(ORDER + 1):
-        if k:
-            key = mix(key * np.uint64(257) + raw[at - k] + np.uint64(k))
-        context[k] = k * ONE + (key >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
-        following[k] = k * ONE + (1 << CONTEXT_BITS) + (mix(key + raw[at] + np.uint64(1)) >> np.uint64(64 - NEXT_BITS)).astype(np.int64)
-    return context, following, np.repeat(np.arange(len(texts)), sizes)
-
-
-def _counted(batches):
-    total = np.zeros(SLOTS, np.int64)
-    for batch in batches:
-        blocked = np.array(batch.column(1).to_pylist(), bool)
-        texts = batch.column(0).to_pylist()
-        for kind in (False, True):
-            own = [t for t, b in zip(texts, blocked.tolist(), strict=True) if b == kind]
-            if own:
-                for table in _slots(own)[:2]:
-                    total += np.bincount(table.ravel() + kind * (SLOTS // 2), minlength=SLOTS)
-    at = np.flatnonzero(total)
-    for i in range(0, len(at), 100_000):
-        some = at[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["slot", "n"])
-
-
-def _scored(table: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            texts = batch.column("string").to_pylist()
-            context, following, owner = _slots(texts)
-            ratio = np.zeros(len(owner))
-            for kind, sign in ((0, 1.0), (1, -1.0)):
-                chance = np.full(len(owner), 1 / 256)
-                base = kind * (SLOTS // 2)
-                for k in range(ORDER + 1):
-                    chance = (table[base + following[k]] + PRIOR * chance) / (table[base + context[k]] + PRIOR)
-                ratio += sign * np.log(chance)
-            score = np.bincount(owner, ratio, len(texts)) / np.maximum(1, np.bincount(owner, minlength=len(texts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
-
-    return run
-
-
-def _score(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_scored(table), f"{schema}, score double")
-
-
-def filter_urls(pages: DataFrame, *, rules=RULES, bins: int = 4000) -> DataFrame:
+        own = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")).agg(*[F.sum(c).alias(c) for c in kinds])
+        own = own.withColumn("context", F.shiftright("gram", 8)).withColumn("shorter", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)))
+        whole = own.groupBy("context").agg(*[F.sum(c).alias(f"all_{c}") for c in kinds])
+        # At most 256 contexts of one byte and 65,536 pairs of bytes.
+        own = own.join(F.broadcast(whole) if k < 2 else whole, "context")
+        if lower is None:
+            own = own.select("*", *[F.lit(1 / 256).alias(f"low_{c}") for c in kinds])
+        else:
+            own = own.join(F.broadcast(lower) if k < 3 else lower, "shorter")
+        chance = {c: (F.col(c) + PRIOR * F.col(f"low_{c}")) / (F.col(f"all_{c}") + PRIOR) for c in kinds}
+        last = own.select("gram", *[chance[c].alias(f"low_{c}") for c in kinds])
+        lower = last.withColumnRenamed("gram", "shorter")
+    return last.select("gram", (F.log("low_allowed") - F.log("low_blocked")).alias("ratio"))
+
+
+def filter_urls(pages: DataFrame, *, rules=RULES, bins: int = 4000, chunk_bytes: int = 1 << 20) -> DataFrame:
     """Verdict on every url: its longest fitting rule's, else that of the models.
 
     ``pages`` has page_id and url; other columns are ignored. Urls that a rule
@@ -114,8 +117,12 @@ def filter_urls(pages: DataFrame, *, rules=RULES, bins: int = 4000) -> DataFrame
     (by a hash of host and path) are all counted, the rest calibrate the
     threshold, which makes the two error rates most alike, in ``bins`` steps of
     score from -10 to 10. The score is the log-likelihood of host and path under
-    the accepted model less that under the rejected one, per byte. Counts are
-    kept in tables of fixed size (15 MB), whatever the number of urls.
+    the accepted model less that under the rejected one, per byte.
+
+    Different strings of host and path are dealt by hash into chunks of about
+    ``chunk_bytes``. Only a chunk's different grams travel: their counts to the
+    models' table, and their ratios back to the chunk. Nothing that grows with
+    the urls is gathered on the driver or broadcast.
 
     Null and urls without `://` have an empty host and path, no rule, and are
     blocked. With examples of one kind only, all that no rule decides are
@@ -128,18 +135,26 @@ def filter_urls(pages: DataFrame, *, rules=RULES, bins: int = 4000) -> DataFrame
         "page_id", "host", "path", F.col("match.rule").alias("rule"), F.col("match.verdict").alias("own"),
         F.concat("host", "path").cast("binary").alias("string"),
     )
-    examples = told.where("own is not null").select("string", (F.col("own") == "block").alias("blocked"))
-    held = F.pmod(F.xxhash64("string"), F.lit(5)) == 0
-    counts = examples.where(~held).mapInArrow(_counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = counts.toArrow()
-    table = np.zeros(SLOTS, np.float32)
-    table[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    # A string has one host and one path, so all its rows are decided alike.
+    strings = told.groupBy("string").agg(F.first("own").alias("own"), F.count("*").alias("n"))
+    strings = strings.withColumn("held", F.pmod(F.xxhash64("string"), F.lit(5)) == 0)
+    size = strings.select(F.sum(F.length("string") + 1)).first()[0] or 0
+    parts = parts_for(size, chunk_bytes)
+    counts = [F.when(~F.col("held") & (F.col("own") == v), F.col("n")).otherwise(0).alias(c) for c, v in (("allowed", "allow"), ("blocked", "block"))]
+    strings = checkpointed(strings.select("*", *counts, F.pmod(F.xxhash64("string", F.lit(1)), F.lit(parts)).cast("int").alias("chunk")))
+    counted = checkpointed(strings.groupBy("chunk").applyInArrow(_counted, COUNTED))
+    grams = checkpointed(counted.groupBy("gram").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")))
+    told_back = counted.select("chunk", "gram").join(ratios(grams), "gram")
+    scored = checkpointed(
+        strings.groupBy("chunk").cogroup(told_back.groupBy("chunk")).applyInArrow(_scored, "string binary, own string, n bigint, held boolean, score double")
+    )
     step = F.floor((F.least(F.greatest("score", F.lit(-10.0)), F.lit(10.0)) + 10) * (bins / 20)).cast("int").alias("bin")
-    spread = _score(examples.where(held), table).groupBy("blocked", step).agg(F.count("*").alias("n")).toArrow()
+    held = scored.where("held and own is not null").select((F.col("own") == "block").alias("blocked"), step, "n")
+    spread = held.groupBy("blocked", "bin").agg(F.sum("n").alias("n")).toArrow()
     threshold = calibrated(spread.column("blocked").to_numpy(False), spread.column("bin").to_numpy(), spread.column("n").to_numpy(), bins)
     judged = F.when(F.col("host") == "", "block").when(F.col("score") >= threshold, "allow").otherwise("block")
-    scored = _score(told, table)
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("own", judged).alias("verdict"), "score")
+    out = told.join(scored.select("string", "score"), "string")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("own", judged).alias("verdict"), "score")
 
 
 def calibrated(blocked: np.ndarray, step: np.ndarray, n: np.ndarray, bins: int) -> float:

@@ -1,3 +1,6 @@
+import collections
+import hashlib
+import math
 import re
 import zlib
 
@@ -48,3 +51,35 @@ def test_calibration_without_one_kind():
     none = np.array([], int)
     assert calibrated(np.array([], bool), none, none, 10) == float("-inf")
     assert calibrated(np.array([True]), np.array([3]), np.array([1]), 10) == float("inf")
+
+
+def test_every_context_has_its_own_count(spark):
+    # More different contexts than 65,536: each must be counted by itself.
+    name = lambda i: "".join(chr(97 + b % 26) for b in hashlib.sha256(b"%d" % i).digest())
+    urls = [f"http://{name(i)}.{'com' if i % 2 else 'net'}/{'' if i % 2 else 'es/'}{name(i + 9999)}" for i in range(2000)] + ["http://Q.org/zz"]
+    urls += urls[:40]
+    got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), chunk_bytes=20_000).collect()
+    assert len(got) == len(urls)
+    held = {r.s: r.h for r in spark.createDataFrame([(r.host + r.path,) for r in got], "s string").selectExpr("s", "pmod(xxhash64(cast(s as binary)), 5) = 0 h").collect()}
+    seen, after = collections.Counter(), collections.Counter()
+    for r in got:
+        if r.rule and not held[r.host + r.path]:
+            for gram in grams(r.host + r.path):
+                for k in range(6):
+                    after[r.verdict, gram[5 - k :]] += 1
+                    seen[r.verdict, gram[5 - k : 5]] += 1
+    assert len({g for _, g in seen}) > 65_536
+    for r in got[:200] + got[-50:]:
+        score = 0
+        for gram in grams(r.host + r.path):
+            for kind, sign in (("allow", 1), ("block", -1)):
+                chance = 1 / 256
+                for k in range(6):
+                    chance = (after[kind, gram[5 - k :]] + 4 * chance) / (seen[kind, gram[5 - k : 5]] + 4)
+                score += sign * math.log(chance)
+        assert abs(r.score - score / (len(r.host + r.path) + 1)) < 1e-9
+
+
+def grams(text):
+    text = b"\x02" * 5 + text.encode() + b"\x03"
+    return [text[i : i + 6] for i in range(len(text) - 5)]
