@@ -44,6 +44,13 @@ def traverse(edges: DataFrame, seeds: DataFrame, *, hops: int, direction: str =
     return seen
 
 
+def induced(edges: DataFrame, seeds: DataFrame, *, hops: int) -> DataFrame:
+    """Edges between nodes within ``hops`` of each seed in either direction: seed, source, target."""
+    near = checkpointed(traverse(edges, seeds, hops=hops, direction="both").select("seed", "node"))
+    inside = edges.select("source", "target").join(near.withColumnRenamed("node", "source"), "source")
+    return inside.join(near.withColumnRenamed("node", "target"), ["seed", "target"]).select("seed", "source", "target")
+
+
 def impact(edges: DataFrame, seeds: DataFrame, *, hops: int = 3) -> DataFrame:
     """Reverse closure with the best path's weight, the least of its edges': seed, node, weight."""
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("confidence")], F.lit(0.25))
@@ -55,15 +62,22 @@ def impact(edges: DataFrame, seeds: DataFrame, *, hops: int = 3) -> DataFrame:
     return best.where("node != seed")
 
 
-def cheapest_paths(edges: DataFrame, seeds: DataFrame, *, rounds: int = 4) -> DataFrame:
-    """Cost and path of the cheapest path from each seed; of equal costs the lesser path (as text) wins."""
+def cheapest_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Cost and path of the cheapest path from each seed; of equal costs the lesser path (as text) wins.
+
+    Paths grow by an edge a round until none gets better; so costs must be above 0 (checked).
+    """
+    if not edges.where("cost <= 0").isEmpty():
+        raise ValueError("costs must be above 0")
     best = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast("bigint").alias("cost"), F.col("seed").cast("string").alias("path"))
-    for _ in range(rounds):
+    while True:
         step = best.join(edges.select(F.col("source").alias("node"), "target", F.col("cost").alias("own_cost")), "node")
         step = step.select("seed", F.col("target").alias("node"), (F.col("cost") + F.col("own_cost")).alias("cost"), F.concat_ws(">", "path", F.col("target").cast("string")).alias("path"))
         least = best.unionByName(step).groupBy("seed", "node").agg(F.min(F.struct("cost", "path")).alias("own"))
-        best = checkpointed(least.select("seed", "node", "own.cost", "own.path"))
-    return best
+        new = checkpointed(least.select("seed", "node", "own.cost", "own.path"))
+        if new.join(best, ["seed", "node", "cost", "path"], "left_anti").isEmpty():
+            return new
+        best = new
 
 
 def weighted_pairs(edges: DataFrame) -> DataFrame:
@@ -168,7 +182,7 @@ def articulation_points(pairs: DataFrame, *, most_edges: int = 100_000) -> DataF
                             found.add(parent)
             if children > 1:
                 found.add(root)
-        return pd.DataFrame({"node": sorted(found)})
+        return pd.DataFrame({"node": pd.Series(sorted(found), dtype=object)})
 
     kind = pairs.schema["a"].dataType.simpleString()
     return pairs.select("a", "b").groupBy().applyInPandas(tarjan, f"node {kind}")
