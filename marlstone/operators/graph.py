@@ -101,14 +101,21 @@ def components(pairs: DataFrame) -> DataFrame:
         now = new
 
 
-def label_propagation(pairs: DataFrame, *, rounds: int = 8) -> DataFrame:
-    """Synchronous label propagation: each node takes the heaviest label around it, the least of equals."""
+def label_propagation(pairs: DataFrame, *, rounds: int = 24) -> DataFrame:
+    """Synchronous label propagation: each node takes the heaviest label around it, the least of equals.
+
+    It ends after ``rounds`` rounds (24 in the reference), or when no label changes.
+    """
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     now = both.select("a").distinct().withColumn("label", F.col("a"))
     for _ in range(rounds):
         votes = both.join(now.select(F.col("a").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("weight").alias("w"))
         best = F.row_number().over(Window.partitionBy("a").orderBy(F.col("w").desc(), "label"))
-        now = checkpointed(votes.withColumn("n", best).where("n = 1").select("a", "label"))
+        new = checkpointed(votes.withColumn("n", best).where("n = 1").select("a", "label"))
+        same = new.join(now.withColumnRenamed("label", "was"), "a").where("label != was").isEmpty()
+        now = new
+        if same:
+            break
     return now.select(F.col("a").alias("node"), F.col("label").alias("community"))
 
 

@@ -63,3 +63,17 @@ def test_betweenness_of_a_path(spark):
 def test_greedy_budget_skips_what_does_not_fit(spark):
     ranked = spark.createDataFrame([(1, 1, 1, 9), (1, 2, 2, 50), (1, 3, 3, 2)], "qid int, doc_id bigint, rank bigint, size bigint")
     assert sorted(r.doc_id for r in retrieval.greedy_budget(ranked, budget=12, key="doc_id", size="size").collect()) == [1, 3]
+
+
+def test_label_propagation_goes_on_for_24_rounds(spark):
+    pairs = [(i, i + 1, 100 - i) for i in range(40)]
+    near = {n: {} for n in range(41)}
+    for a, b, w in pairs:
+        near[a][b] = near[b][a] = w
+    rounds = [{n: n for n in near}]
+    for _ in range(24):
+        votes = {n: [(sum(w for b, w in near[n].items() if rounds[-1][b] == x), -x) for x in {rounds[-1][b] for b in near[n]}] for n in near}
+        rounds.append({n: -max(v)[1] for n, v in votes.items()})
+    assert rounds[8] != rounds[24] != rounds[23]
+    table = spark.createDataFrame(pairs, "a int, b int, weight int")
+    assert {r.node: r.community for r in graph.label_propagation(table).collect()} == rounds[24]
