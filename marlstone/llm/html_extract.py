@@ -61,11 +61,11 @@ def _beside(name: str, rest: str) -> bool:
 
 
 class Line:
-    """One block: its text and whether an article holds it; ``own`` counts its characters outside links."""
+    """One block: its text and the number of the outermost article that holds it (0: none); ``own`` counts its characters outside links."""
 
     __slots__ = ("inside", "own", "text")
 
-    def __init__(self, text: str, own: int, inside: bool):
+    def __init__(self, text: str, own: int, inside: int):
         self.text, self.own, self.inside = text, own, inside
 
 
@@ -73,7 +73,7 @@ def lines_of(page: str) -> list[Line]:
     """The page's blocks in order, without what lies beside an article."""
     out: list[Line] = []
     text: list[str] = []
-    linked = articles = beside = links = at = 0
+    linked = articles = numbered = beside = links = at = 0
     stack: list[tuple[str, bool]] = []
 
     def put(raw: str) -> None:
@@ -88,7 +88,7 @@ def lines_of(page: str) -> list[Line]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append(Line(joined, max(0, len(joined) - linked), articles > 0))
+                out.append(Line(joined, max(0, len(joined) - linked), numbered if articles else 0))
             text.clear()
         linked = 0
 
@@ -144,7 +144,9 @@ def lines_of(page: str) -> list[Line]:
             stack[-1] = ("header", False)
         stack.append((name, side))
         beside += side
-        articles += name in ("article", "main")
+        if name in ("article", "main"):
+            numbered += not articles
+            articles += 1
         links += name == "a"
     flush()
     return out
@@ -155,36 +157,38 @@ def main_text(page: str | None, *, window: int = 3, surge: int = 80) -> str:
 
     ``own`` lengths are summed over ``window`` lines from each line on. A region
     begins at the first line with text of its own whose sum reaches ``surge``
-    and ends where a whole window holds no text of its own. A line inside an
-    article element weighs ``surge`` more, so the article is one region whatever
-    its lines' lengths, and if there is one only its lines stay. Otherwise the
-    region with the most text stays, or all lines if nothing surges.
+    and ends where a whole window holds no text of its own; all regions stay
+    (without an article: the one with the most text).
+    Article elements weigh nothing: one whose text surges brings its other
+    lines, one that does not is no region. If nothing surges, the lines of
+    articles stay, or those with text of their own if there are none.
     """
     lines = lines_of(page or "")
     if not lines:
         return ""
-    inside = np.array([x.inside for x in lines])
-    weight = np.array([x.own for x in lines]) + surge * inside
-    sums = np.convolve(np.r_[weight, np.zeros(window - 1, int)], np.ones(window, int), "valid")
+    own = np.array([x.own for x in lines])
+    sums = np.convolve(np.r_[own, np.zeros(window - 1, int)], np.ones(window, int), "valid")
     regions, begin = [], None
     for i in range(len(lines)):
-        if begin is None and weight[i] and sums[i] >= surge:
+        if begin is None and own[i] and sums[i] >= surge:
             begin = i
         elif begin is not None and not sums[i]:
             regions.append((begin, i))
             begin = None
     if begin is not None:
         regions.append((begin, len(lines)))
-    if inside.any():
-        kept = [i for s, e in regions for i in range(s, e) if inside[i]]
-    elif regions:
-        s, e = max(regions, key=lambda r: (weight[r[0] : r[1]].sum(), -r[0]))
-        while e > s and not weight[e - 1]:
+    if regions and not any(x.inside for x in lines):
+        regions = [max(regions, key=lambda r: (own[r[0] : r[1]].sum(), -r[0]))]
+    kept = set()
+    for s, e in regions:
+        while not own[e - 1]:
             e -= 1
-        kept = list(range(s, e))
-    else:
-        kept = [i for i in range(len(lines)) if weight[i]]
-    return "\n".join(lines[i].text for i in kept)
+        kept.update(range(s, e))
+    inside = np.array([x.inside for x in lines])
+    # Of an article that a region only runs into, no line surges.
+    surging = set(inside[[i for i in kept if own[i] and own[i : i + window][inside[i : i + window] == inside[i]].sum() >= surge]].tolist()) - {0}
+    kept.update(i for i, x in enumerate(lines) if x.inside in surging or not regions and (x.inside if inside.any() else x.own))
+    return "\n".join(lines[i].text for i in sorted(kept))
 
 
 def _extracted(batches):

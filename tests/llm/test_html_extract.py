@@ -19,6 +19,23 @@ def test_without_article():
     assert main_text(f"<body>{body}</body>") == "\n".join(f"{'words and more ' * 9}{i}." for i in range(4))
 
 
+LONG = "words and more " * 9
+
+
+def test_lengths_decide_beside_a_card():
+    body = "".join(f"<p>{LONG}{i}.</p>" for i in range(3))
+    links = "<p><a href=x>more of this</a></p>" * 4
+    want = "\n".join(f"{LONG}{i}." for i in range(3))
+    assert main_text(f"<body><div>{body}</div>{links}<article><p>Card</p></article></body>") == want
+    assert main_text(f"<body><article><p>Card</p></article>{links}<div>{body}</div></body>") == want
+
+
+def test_article_that_surges_is_whole():
+    body = f"<p>One</p><p>Two</p><p>Three</p><p>Four</p><p>{LONG}</p>" + "<p><a href=x>link</a></p>" * 4 + "<p>End.</p>"
+    text = "One\nTwo\nThree\nFour\n" + LONG.strip() + "\nlink" * 4 + "\nEnd."
+    assert main_text(f"<article>{body}</article>") == text
+
+
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<p></p>") == ""
     assert main_text("plain") == "plain"
