@@ -157,8 +157,7 @@ def main_text(page: str | None, *, window: int = 3, surge: int = 80) -> str:
 
     ``own`` lengths are summed over ``window`` lines from each line on. A region
     begins at the first line with text of its own whose sum reaches ``surge``
-    and ends where a whole window holds no text of its own; all regions stay
-    (without an article: the one with the most text).
+    and ends where a whole window holds no text of its own; all regions stay.
     Article elements weigh nothing: one whose text surges brings its other
     lines, one that does not is no region. If nothing surges, the lines of
     articles stay, or those with text of their own if there are none.
@@ -177,8 +176,6 @@ def main_text(page: str | None, *, window: int = 3, surge: int = 80) -> str:
             begin = None
     if begin is not None:
         regions.append((begin, len(lines)))
-    if regions and not any(x.inside for x in lines):
-        regions = [max(regions, key=lambda r: (own[r[0] : r[1]].sum(), -r[0]))]
     kept = set()
     for s, e in regions:
         while not own[e - 1]:

@@ -36,6 +36,12 @@ def test_article_that_surges_is_whole():
     assert main_text(f"<article>{body}</article>") == text
 
 
+def test_every_region_stays():
+    part = lambda k, n: "".join(f"<p>{LONG}{k}{i}.</p>" for i in range(n))
+    page = f"<body><div>{part('a', 4)}<ul>{'<li><a href=x>link</a></li>' * 3}</ul>{part('b', 2)}</div></body>"
+    assert main_text(page) == "\n".join([f"{LONG}a{i}." for i in range(4)] + [f"{LONG}b{i}." for i in range(2)])
+
+
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<p></p>") == ""
     assert main_text("plain") == "plain"
