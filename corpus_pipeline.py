@@ -6,49 +6,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import checkpoint_folder, read
-from marlstone.llm.decontaminate import contaminated_spans
+from marlstone.llm.decontaminate import without_hits
 from marlstone.llm.near_dedup import near_duplicates
 from marlstone.llm.packing import packed_pieces, tokenizer_path
 from marlstone.llm.queries import SIZE
 from marlstone.llm.substring_dedup import substring_dedup
-from marlstone.llm.toxicity import score_toxicity
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is one of ids (null equals null)."""
-    ids = ids.select(F.col("doc_id").alias("own_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["own_id"]), "left_semi")
-
-
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Documents with another text (and its length) in place of their own."""
-    new = texts.select(F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"))
-    return docs.drop("text").join(new, docs["doc_id"].eqNullSafe(new["own_id"])).select(
-        *[F.col("own_text").alias(c) if c == "text" else F.length("own_text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    )
+from marlstone.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go."""
-    return _only(docs, score_toxicity(docs, read(spark, sf_dir, "labels")).where("predicted = 0"))
+    """Rows whose text the classifier calls toxic go; each row is judged by its own text, whatever its doc_id."""
+    return without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least doc_id stays."""
-    classes = near_duplicates(docs)
-    kept = _only(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))))
-    return kept.dropDuplicates(["doc_id"])
+    """Of each class of near-duplicates one row stays: that with the least doc_id (null last), of equal ones that with the least hash of text.
+
+    Every row gets a key of its own, written once, so repeated and null doc_ids
+    with different texts are different documents; rows without words all stay.
+    """
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    path = f"{checkpoint_folder(spark)}/keyed"
+    docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
+    keyed = spark.read.parquet(path)
+    classes = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "class_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", F.xxhash64("text").alias("hash"), key)
+    kept = keyed.select(key, rank.alias("rank")).join(classes, key).groupBy("class_id").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{key}").alias(key))
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut; documents that lose all their words go."""
-    cut = substring_dedup(docs).where("n_removed < n_words or n_words = 0")
-    return _with_text(docs, cut)
+    """Passages that an earlier document has are cut; documents that lose all their words go. Rows of one doc_id are not earlier than each other."""
+    cut = substring_dedup(docs, rows=True).where("n_removed < n_words or n_words = 0")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint").alias("n_chars")}
+    return cut.select(*[new.get(c, F.col("row")[c].alias(c)) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
-    return _only(docs, contaminated_spans(docs, read(spark, sf_dir, "benchmark")).where("n_hit = 0"))
+    """Rows whose text holds a benchmark window go."""
+    return without_hits(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

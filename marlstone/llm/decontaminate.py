@@ -93,6 +93,35 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[cut].tolist(), e[np.r_[cut[1:] - 1, len(e) - 1]].tolist(), strict=True))
 
 
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int):
+    """Windows of each block of items."""
+    wanted = benchmark.select(F.col("item_id").alias("item"), F.col("text").cast("binary").alias("words"))
+    size = wanted.select(F.sum(F.octet_length("words"))).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
+    for b in range(n):
+        block = wanted.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b) if n > 1 else wanted
+        rows = [(r["item"], None if r["words"] is None else bytes(r["words"])) for r in block.collect()]
+        yield tuple((k, tuple(v)) for k, v in sorted(item_windows(rows, window).items()))
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """Rows of ``docs``, all columns, in whose own text ``contaminated_spans`` finds nothing."""
+    small_batches(docs.sparkSession)
+
+    def clean(windows: tuple):
+        def run(batches):
+            for batch in batches:
+                found = [scan(t, windows)[1] for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                yield batch.filter(pa.array([not x for x in found], pa.bool_()))
+
+        return run
+
+    out = docs
+    for b, windows in enumerate(_blocks(benchmark, window, block_bytes)):
+        out = (out if b == 0 else checkpointed(out)).mapInArrow(clean(windows), docs.schema)
+    return out
+
+
 def contaminated_spans(
     docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 8 << 20
 ) -> DataFrame:
@@ -116,9 +145,6 @@ def contaminated_spans(
     spans (half-open word ranges) and text.
     """
     small_batches(docs.sparkSession)
-    wanted = benchmark.select(F.col("item_id").alias("item"), F.col("text").cast("binary").alias("words"))
-    size = wanted.select(F.sum(F.octet_length("words"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
     state = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("text").cast("binary").alias("text"),
@@ -126,10 +152,7 @@ def contaminated_spans(
         F.array().cast("array<string>").alias("items"),
         F.array().cast("array<struct<start:int,stop:int>>").alias("spans"),
     )
-    for b in range(n):
-        block = wanted.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b) if n > 1 else wanted
-        rows = [(r["item"], None if r["words"] is None else bytes(r["words"])) for r in block.collect()]
-        windows = tuple((k, tuple(v)) for k, v in sorted(item_windows(rows, window).items()))
+    for b, windows in enumerate(_blocks(benchmark, window, block_bytes)):
         state = (state if b == 0 else checkpointed(state)).mapInArrow(_scanner(windows), STATE)
     covered = F.aggregate("spans", F.lit(0).cast("bigint"), lambda t, s: t + s["stop"] - s["start"])
     return state.select(

@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marlstone.llm.common import PLAIN, blocks, fitting, grams, parts_for, small_batches, split_by, text_bytes, words_of
 
@@ -240,16 +241,18 @@ def _parsed(window: int, anchor: int):
                     out += words[at:s]
                     at = e
                 kept = b" ".join(out + words[at:]).decode("utf-8", "replace")
+            texts[i] = None
             rows.append((int(ids[i]) if ids[i] != LATEST else None, int(sizes[i]), sum(e - s for s, e in cut), [{"start": s, "stop": e} for s, e in cut], kept))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.string())
         columns = zip(*rows, strict=True) if rows else [[]] * 5
-        return pa.table([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "spans", "text"])
+        out = pa.table([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "spans", "text"])
+        return out.append_column("row", table.column("row")) if "row" in table.column_names else out
 
     return run
 
 
 def substring_dedup(
-    docs: DataFrame, *, window: int = 13, anchor: int = 5, part_bytes: int = 16 << 20
+    docs: DataFrame, *, window: int = 13, anchor: int = 5, part_bytes: int = 16 << 20, rows: bool = False
 ) -> DataFrame:
     """Remove every word that a window starting in an earlier document covers.
 
@@ -261,13 +264,14 @@ def substring_dedup(
     is later than all others. A null text has no words and stays null; a text
     of fewer words than the window loses nothing. Copies keep their first one.
 
-    Texts are dealt once into parts of about ``part_bytes`` by doc_id, and only
+    Texts are dealt once into parts of about ``part_bytes`` by doc_id and text, and only
     window hashes travel between parts: a hash once for each part, so a passage
     that a third of all rows share costs one entry a part. A key has 80 bits
     next to the 63 of its anchor.
 
     Returns doc_id, n_words, n_removed, spans (half-open word ranges removed)
-    and text (unchanged if nothing goes, else the kept words joined by one space).
+    and text (unchanged if nothing goes, else the kept words joined by one space);
+    with ``rows`` also row, a struct of the input row's columns other than text.
     """
     if not 1 < anchor < window:
         raise ValueError("anchor must be between 2 and window - 1")
@@ -277,12 +281,17 @@ def substring_dedup(
     dealt = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("text").cast("binary").alias("text"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"),
+        *[F.struct(*[c for c in docs.columns if c != "text"]).alias("row")] * rows,
     )
+    result = StructType.fromDDL(RESULT)
+    if rows:
+        result.add(dealt.schema["row"])
+    # The same columns each time, so that the texts are dealt once.
     by_part = lambda: dealt.groupBy("part")
     anchors = by_part().applyInArrow(_anchors(window, anchor, parts), ENTRY)
     shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, "part int, keys binary")
     marked = by_part().cogroup(shared.groupBy("part")).applyInArrow(_marked(window, anchor, parts), ENTRY)
     earlier = marked.groupBy("bucket").applyInArrow(_earlier, "part int, keys binary, checks binary")
     told = shared.withColumn("checks", F.lit(None).cast("binary")).unionByName(earlier)
-    return by_part().cogroup(told.groupBy("part")).applyInArrow(_parsed(window, anchor), RESULT)
+    return by_part().cogroup(told.groupBy("part")).applyInArrow(_parsed(window, anchor), result)

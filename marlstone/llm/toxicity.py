@@ -231,3 +231,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFra
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     scored = source.mapInArrow(_scored(*model), "doc_id bigint, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFrame:
+    """Rows of ``docs``, all columns, whose own text ``score_toxicity`` does not call toxic."""
+    small_batches(docs.sparkSession)
+    toxic, ordinary, chances = train(docs, labels, **sample)
+
+    def run(batches):
+        for batch in batches:
+            levels = measured(batch.column("text").cast(pa.binary()).to_pylist(), toxic, ordinary)
+            yield batch.filter(pa.array([chances[k] < 0.5 for k in levels], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -61,3 +61,25 @@ def test_stage_columns_and_empty_table(spark, sf001):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf001)
         assert out.columns == docs.columns and out.count() == 0
+
+
+def test_repeated_and_null_ids_are_rows_of_their_own(spark, sf001, docs, monkeypatch):
+    from marlstone.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "train", lambda *a, **k: (b"", b"", [0.1] * 5 + [0.9] * 5))
+    monkeypatch.setattr(toxicity, "measured", lambda texts, *a: [9 * (b"toxic" in (t or b"")) for t in texts])
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    texts = [None, "", text(1), text(2), text(3), text(4), text(4) + " tail", text(5), text(5), text(6) + " toxic"]
+    ids = [None, 7, None, None, 7, 7, None, 8, 8, 7]
+    item = spark.read.parquet(f"{sf001}/benchmark.parquet").orderBy("item_id").first().text
+    table = docs([*texts, item], [*ids, 7])
+    have = lambda df: sorted((r.doc_id or -1, r.text or "") for r in df.collect())
+    every = sorted((i or -1, t or "") for i, t in zip([*ids, 7], [*texts, item], strict=True))
+    after = corpus_pipeline.toxicity(spark, table, sf001)
+    assert have(after) == [r for r in every if "toxic" not in r[1]]
+    after = corpus_pipeline.near_dedup(spark, after, sf001).localCheckpoint()
+    want = [(-1, ""), (-1, text(1)), (-1, text(2)), (7, ""), (7, text(3)), (7, text(4)), (8, text(5)), (7, item)]
+    assert have(after) == sorted(want)
+    after = corpus_pipeline.substrings(spark, after, sf001)
+    assert after.columns == table.columns and have(after) == sorted(want)
+    assert have(corpus_pipeline.decontamination(spark, after, sf001)) == sorted(want[:-1])
