@@ -90,25 +90,46 @@ def _masks(width: int, ones: int) -> np.ndarray:
     return _known[width, ones]
 
 
-FOUND = "code binary, distance int, ids array<bigint>"
+FOUND = "code binary, skip bigint, distance int, ids array<struct<id:bigint,n:bigint>>"
 
 
 def _searched(k: int):
     def run(key, left, right):
-        out: list[tuple[bytes, int, list[int]]] = []
+        out: list[tuple] = []
         codes, ids = right.column("code").to_pylist(), right.column("ids").to_pylist()
-        queries = left.column("code").to_pylist()
+        queries = list(zip(left.column("code").to_pylist(), left.column("skip").to_pylist(), strict=True))
+        skips = {s for _, s in queries if s is not None}
         for size in {len(c) for c in codes}:
             own = [i for i, c in enumerate(codes) if len(c) == size]
-            index = Index(np.frombuffer(b"".join(codes[i] for i in own), np.uint8).reshape(len(own), size))
-            least = np.array([ids[i][0] for i in own])
-            for q in queries:
-                if len(q) == size:
-                    best, dist = index.search(np.frombuffer(q, np.uint8), least, k)
-                    out += [(q, int(d), ids[own[b]]) for b, d in zip(best, dist, strict=True)]
-        kinds = (pa.binary(), pa.int32(), pa.list_(pa.int64()))
-        columns = zip(*out, strict=True) if out else [[]] * 3
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["code", "distance", "ids"])
+            packed = np.frombuffer(b"".join(codes[i] for i in own), np.uint8).reshape(len(own), size)
+            index, least = Index(packed), np.array([ids[i][0]["id"] for i in own])
+            held: dict[int, list[int]] = {s: [] for s in skips}
+            for j, i in enumerate(own):
+                for x in ids[i]:
+                    if x["id"] in held:
+                        held[x["id"]].append(j)
+            for q, skip in queries:
+                if len(q) != size:
+                    continue
+                at, names, where = index, least, range(len(own))
+                if skip is not None and held[skip]:
+                    # Codes are ranked by their least other id; those of this id alone are left out.
+                    rest = {j: [x["id"] for x in ids[own[j]] if x["id"] != skip] for j in held[skip]}
+                    names = least.copy()
+                    for j, others in rest.items():
+                        names[j] = others[0] if others else 0
+                    gone = [j for j, others in rest.items() if not others]
+                    if gone:
+                        where = np.setdiff1d(np.arange(len(own)), gone)
+                        if not len(where):
+                            continue
+                        at, names = Index(packed[where]), names[where]
+                best, dist = at.search(np.frombuffer(q, np.uint8), names, k)
+                for b, d in zip(best, dist, strict=True):
+                    out.append((q, skip, int(d), [x for x in ids[own[where[b]]] if x["id"] != skip]))
+        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())])))
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["code", "skip", "distance", "ids"])
 
     return run
 
@@ -117,33 +138,40 @@ def top_k(codes: DataFrame, queries: DataFrame, *, k: int = 10, index_rows: int
     """The k nearest other rows of each query by Hamming distance, ties by id: query_id, rank, id, distance.
 
     Both inputs have id and code (binary; null codes are left out). Rows of one
-    code are one entry with the k + 1 least ids, found by a limit that is applied
-    before the shuffle, so a code that a third of all rows have is no burden and
-    nothing is lost: of equal distances the lesser ids win. Entries are dealt
-    into blocks of about ``index_rows`` and distinct query codes into blocks of
-    about ``query_rows``; each pair of blocks is searched by its own index and
-    gives k + 1 entries a query. A code is compared with codes of its length
-    only. A query is not its own neighbour; with fewer rows there are fewer
-    neighbours. Repeated ids are rows of their own, but never neighbours of
-    their id.
+    code and id are counted. A code is one entry with its k + 1 least different
+    ids, found by a limit that is applied before the shuffle, so a code that a
+    third of all rows have is no burden and nothing is lost: of equal distances
+    the lesser ids win. Entries are dealt into blocks of about ``index_rows`` and
+    distinct queries into blocks of about ``query_rows``; each pair of blocks is
+    searched by its own index and gives k + 1 entries a query. A code is compared
+    with codes of its length only. A query is not its own neighbour; with fewer
+    rows there are fewer neighbours. Repeated ids are rows of their own, but
+    never neighbours of their id. An id that has one code has one place among
+    k + 1, so queries of a code share a search; an id with several codes has
+    searches of its own that skip it.
     """
     small_batches(codes.sparkSession, 4000)
-    ranked = codes.where("code is not null").select("code", "id", F.row_number().over(Window.partitionBy("code").orderBy("id")).alias("n"))
-    entries = ranked.where(F.col("n") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    asked = queries.where("code is not null").select("code").distinct()
+    counted = codes.where("code is not null").select(F.col("code").alias("code"), F.col("id").alias("id")).groupBy("code", "id").agg(F.count("*").alias("n"))
+    ranked = counted.select("*", F.row_number().over(Window.partitionBy("code").orderBy("id")).alias("place"))
+    entries = ranked.where(F.col("place") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("ids"))
+    several = counted.groupBy("id").agg(F.count("*").alias("codes")).where("codes > 1").select(F.col("id").alias("query_id"), F.col("id").alias("skip"))
+    own = queries.where("code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("code")).join(several, "query_id", "left")
+    asked = own.select("code", "skip").distinct()
     n_index, n_query = (parts_for(df.count(), rows, 1) for df, rows in ((codes, index_rows), (asked, query_rows)))
-    block = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
+    block = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("code", block(n_query).alias("q"), every(n_index).alias("i"))
-    right = entries.select("code", "ids", every(n_query).alias("q"), block(n_index).alias("i"))
+    left = asked.select("code", "skip", block(n_query, "code", "skip").alias("q"), every(n_index).alias("i"))
+    right = entries.select("code", "ids", every(n_query).alias("q"), block(n_index, "code").alias("i"))
     found = left.groupBy("q", "i").cogroup(right.groupBy("q", "i")).applyInArrow(_searched(k + 1), FOUND)
-    single = found.select("code", "distance", F.explode("ids").alias("id"))
-    by_code = Window.partitionBy("code").orderBy("distance", "id")
-    near = single.withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= k + 1).groupBy("code").agg(
-        F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near")
+    single = found.select("code", "skip", "distance", F.inline("ids"))
+    by_query = Window.partitionBy("code", "skip").orderBy("distance", "id")
+    near = single.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k + 1).groupBy("code", "skip").agg(
+        F.array_sort(F.collect_list(F.struct("distance", "id", "n"))).alias("near")
     )
-    own = queries.where("code is not null").select(F.col("id").alias("query_id"), "code").join(near, "code")
-    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
-    return own.select("query_id", F.posexplode(others).alias("rank", "near")).select(
+    near = near.select(F.col("code").alias("near_code"), F.col("skip").alias("near_skip"), "near")
+    own = own.join(near, (F.col("code") == F.col("near_code")) & F.col("skip").eqNullSafe(F.col("near_skip")))
+    others = F.filter("near", lambda x: x["id"] != F.col("query_id"))
+    rows = F.slice(F.flatten(F.transform(others, lambda x: F.array_repeat(x, F.least(x["n"], F.lit(k)).cast("int")))), 1, k)
+    return own.select("query_id", F.posexplode(rows).alias("rank", "near")).select(
         "query_id", (F.col("rank") + 1).alias("rank"), F.col("near.id").alias("id"), F.col("near.distance").alias("distance")
     )

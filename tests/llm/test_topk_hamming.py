@@ -34,3 +34,17 @@ def test_radius_is_proven():
         d = np.bitwise_count(codes ^ q).sum(axis=1)
         best, dist = index.search(q, key, 7)
         assert best.tolist() == np.lexsort((key, d))[:7].tolist() and dist.tolist() == np.sort(d)[:7].tolist()
+
+
+def test_repeated_ids_hide_no_neighbour(spark):
+    rng = random.Random(4)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(16)]
+    hot, near = vector(), [vector() for _ in range(6)]
+    # 20: often with one code; 40: with many codes; 60: both.
+    rows = [(20, hot)] * 30 + [(i, hot) for i in (3, 5, 5, 5, 90)] + [(40, v) for v in near] * 2 + [(40, vector()) for _ in range(40)]
+    rows += [(60, hot)] * 9 + [(60, vector()) for _ in range(20)] + [(i, vector()) for i in range(100, 140)] + [(7, near[0]), (8, near[0])] * 4
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    codes = sign_codes(table)
+    for sizes in ({}, {"index_rows": 50, "query_rows": 20}):
+        got = top_k(codes, codes.where("id % 20 = 0"), k=5, **sizes)
+        assert sorted((r.query_id, r.rank, r.id, r.distance) for r in got.collect()) == expected(rows, 5)
