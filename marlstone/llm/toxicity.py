@@ -190,22 +190,29 @@ def _scored(toxic: bytes, ordinary: bytes, chances: list[float]):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, ordinary_rows: int = 3000) -> tuple[bytes, bytes, list[float]]:
+def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, ordinary_rows: int = 3000, sample_bytes: int = 64 << 20) -> tuple[bytes, bytes, list[float]]:
     """Both dictionaries and the chance for each difference, learnt from a bounded sample of labelled rows.
 
     Only rows whose crc32(doc_id) mod 5 is not 0 are used: 2, 3 and 4 for the
     dictionaries, 1 for the chances. The sample has at most ``toxic_rows`` and
-    ``ordinary_rows`` rows, those with the least hash of doc_id and text.
+    ``ordinary_rows`` rows, those with the least hash of doc_id and text, and of
+    each kind no row after the one that makes ``sample_bytes`` of text full.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold != 0)
     told = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(known, "doc_id")
-    rows = []
+    samples = []
     for label, most in ((1, toxic_rows), (0, ordinary_rows)):
-        chosen = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows.append(told.where(F.col("toxic") == label).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("doc_id", fold.alias("fold"), "text"))
-    toxic, ordinary = ([(r["fold"], lowered(None if r["text"] is None else bytes(r["text"]))) for r in x.orderBy("doc_id").toLocalIterator()] for x in rows)
+        chosen = told.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(most).select(fold.alias("fold"), "text")
+        rows, size = [], 0
+        for r in chosen.toLocalIterator():
+            rows.append((r["fold"], lowered(None if r["text"] is None else bytes(r["text"]))))
+            size += len(rows[-1][1])
+            if size >= sample_bytes:
+                break
+        samples.append(rows)
+    toxic, ordinary = samples
     content = fit([t for k, t in toxic if k != 1], [t for k, t in ordinary if k != 1])
     held = [(t, 1) for k, t in toxic if k == 1] + [(t, 0) for k, t in ordinary if k == 1]
     return *content, calibrated(measured([t for t, _ in held], *content), [y for _, y in held])

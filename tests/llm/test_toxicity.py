@@ -1,7 +1,10 @@
 import random
+import re
 import zlib
 
-from marlstone.llm.toxicity import calibrated, score_toxicity
+import zstandard
+
+from marlstone.llm.toxicity import LEVEL, calibrated, fit, measured, score_toxicity
 
 
 def sample(n=900):
@@ -40,3 +43,25 @@ def test_without_labels(spark, docs):
 def test_chances_never_fall():
     chances = calibrated([0, 0, 0, 3, 3, 5, 9], [0, 0, 1, 1, 0, 0, 1])
     assert chances == sorted(chances) and len(chances) == 10
+
+
+def test_levels_are_differences_of_window_lengths():
+    rows = sample(300)
+    contents = fit([t.lower().encode() for _, t, y in rows if y], [t.lower().encode() for _, t, y in rows if not y])
+    raw = lambda d: zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    toxic, ordinary = (zstandard.ZstdCompressor(level=LEVEL, dict_data=raw(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in contents)
+    texts = [t for _, t, _ in rows[:40]] + ["x " * 300_000 + "wixxant", "Wixxant " * 5, "", None, "12 34"]
+    expected = []
+    for text in texts:
+        windows = [(" " + w).encode() * 3 + b" " for w in set(re.findall("[a-z\x80-\uffff]+", (text or "").lower()))]
+        expected.append(min(9, max([0] + [len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows])))
+    assert measured([None if t is None else t.encode() for t in texts], *contents) == expected
+
+
+def test_repeated_ids_and_sample_bounds(spark, docs):
+    rows = sample(200)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, 1), (1, 0), (None, 1)], "doc_id bigint, toxic int")
+    table = docs([t for _, t, _ in rows] + ["wixxant"] * 30 + ["of the"] * 3, [i for i, _, _ in rows] + [1] * 30 + [None] * 3)
+    got = score_toxicity(table, labels, toxic_rows=20, ordinary_rows=40, sample_bytes=4000).collect()
+    assert len(got) == 233 and sum(r.doc_id is None for r in got) == 3
+    assert not any(r.held_out for r in got if r.doc_id is None)
