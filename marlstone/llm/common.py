@@ -7,9 +7,11 @@ afterwards; NumPy computes them for a whole block of documents at once.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,7 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
 
 
 mix = _splitmix
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BYTES = _splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(SEED))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -149,6 +152,13 @@ def fitting(n_words: np.ndarray, k: int) -> np.ndarray:
     return doc[:n] == doc[k - 1 :] if n else np.zeros(0, bool)
 
 
+def trim() -> None:
+    """Give freed memory back, so that a reused worker does not keep the peak of its largest group."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def split_by(bucket: np.ndarray, n: int):
     """(bucket, indexes) for each bucket that occurs."""
     order = np.argsort(bucket, kind="stable")

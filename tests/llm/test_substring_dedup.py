@@ -1,7 +1,9 @@
 import random
 import re
 
-from marlstone.llm.substring_dedup import substring_dedup
+import numpy as np
+
+from marlstone.llm.substring_dedup import longest_matches, parse, substring_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -40,6 +42,7 @@ def test_random_copies(docs):
     table = docs([t for _, t in rows], [i for i, _ in rows])
     held(substring_dedup(table, part_bytes=500), rows, 13)
     held(substring_dedup(table, window=8, anchor=3, part_bytes=700), rows, 8)
+    held(substring_dedup(table, part_bytes=500, hot=1), rows, 13)
 
 
 def test_long_text_and_empty(docs):
@@ -52,3 +55,41 @@ def test_long_text_and_empty(docs):
 def test_table(spark, sf001):
     table = spark.read.parquet(f"{sf001}/documents.parquet")
     held(substring_dedup(table), [(r.doc_id, r.text) for r in table.collect()], 13)
+
+
+def test_factors_name_an_earlier_source(docs):
+    rng = random.Random(4)
+    base = [f"b{rng.randrange(60)}" for _ in range(400)]
+    rows = [(i, " ".join(base[a : a + 60] + [f"u{i}"] + base[b : b + 30])) for i, (a, b) in enumerate((rng.randrange(340), rng.randrange(370)) for _ in range(40))]
+    words = {i: t.split() for i, t in rows}
+    seen = 0
+    for r in substring_dedup(docs([t for _, t in rows]), part_bytes=600).collect():
+        covered = set()
+        for f in r.factors:
+            assert f.length >= 13 and f.source < r.doc_id
+            assert words[r.doc_id][f.start : f.start + f.length] == words[f.source][f.word : f.word + f.length]
+            covered.update(range(f.start, f.start + f.length))
+            seen = max(seen, f.length)
+        assert covered == {w for s in r.spans for w in range(s.start, s.stop)}
+    assert seen >= 50
+
+
+def test_longest_matches_and_parse():
+    rng = random.Random(5)
+    segments = [[rng.randrange(3) for _ in range(rng.randint(4, 7))] for _ in range(60)]
+    docs = sorted(rng.randrange(20) for _ in segments)
+    sizes = np.array([len(s) for s in segments])
+    length, source = longest_matches(np.array([w for s in segments for w in s], np.uint64), sizes, np.array(docs), 4)
+    first, flat = np.cumsum(sizes) - sizes, [w for s in segments for w in s]
+    begins = set(parse(length, sizes).tolist())
+    for s, d, at in zip(segments, docs, first.tolist(), strict=True):
+        covered, windows = set(), set()
+        for i in range(len(s)):
+            own = [n for n in range(4, len(s) - i + 1) if any(o[j : j + n] == s[i : i + n] for o, e in zip(segments, docs, strict=True) if e < d for j in range(len(o)))]
+            assert length[at + i] == max(own, default=0)
+            if own:
+                assert flat[source[at + i] : source[at + i] + length[at + i]] == s[i : i + max(own)]
+                windows.update(range(i, i + max(own)))
+            if at + i in begins:
+                covered.update(range(i, i + int(length[at + i])))
+        assert covered == windows
