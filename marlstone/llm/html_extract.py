@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import small_batches
 
 #: Elements whose content is never text of the page (fixed values).
-HIDDEN = "script style noscript template svg math iframe object canvas textarea title head audio video".split()
+HIDDEN = "script style noscript template svg iframe object canvas textarea title head audio video".split()
 #: Elements beside the article (fixed values).
 BESIDE = "nav header footer aside form menu dialog button select".split()
 #: Elements that start and end a block (fixed values).
@@ -24,7 +24,7 @@ BLOCK = set(
 ) - {"br-not"}
 #: Elements without an end (fixed values).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id or role that name something beside the article (fixed values).
+#: Words of a class or id that name something beside the article; in an article all words of a name must be among them.
 NAMES = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "discussion disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification "
@@ -36,7 +36,7 @@ ROLES = set("navigation banner contentinfo complementary search dialog alert".sp
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)",
     re.S,
 )
 _RAW = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for n in HIDDEN}
@@ -44,7 +44,7 @@ _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|aria-hidden|hidden|style
 _WORD = re.compile(r"[a-z]+")
 
 
-def _beside(name: str, rest: str) -> bool:
+def _beside(name: str, rest: str, inside: bool) -> bool:
     if name in BESIDE:
         return True
     if not rest or name in ("html", "body", "article", "main"):
@@ -55,8 +55,10 @@ def _beside(name: str, rest: str) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key in ("class", "id") and NAMES.intersection(_WORD.findall(value)):
-            return True
+        if key in ("class", "id"):
+            names = [set(_WORD.findall(x)) for x in value.split()]
+            if any(x and x <= NAMES if inside else x & NAMES for x in names):
+                return True
     return False
 
 
@@ -138,7 +140,7 @@ def lines_of(page: str) -> list[Line]:
         if name == "a" and links:
             leave("a")
         heads = name == "h1" and articles and stack and stack[-1][0] == "header" and beside == 1
-        side = not heads and _beside(name, m["rest"])
+        side = not heads and _beside(name, m["rest"], articles > 0)
         if heads:
             beside -= 1
             stack[-1] = ("header", False)

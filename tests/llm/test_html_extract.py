@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from marlstone.llm.html_extract import extract_text, main_text
@@ -59,3 +60,30 @@ def test_table(spark, sf001):
         blocks = re.split(r"<[^>]*>", re.sub(r"</?b>", "", inner))
         assert r.text == "\n".join(b for b in (" ".join(html.unescape(x).split()) for x in blocks) if b)
     assert extract_text(pages.where("false")).count() == 0
+
+
+def test_names_and_broken_attributes_in_an_article():
+    body = f"<p class='notice-board'>{LONG}</p><p title=\"it\"s\">Kept &amp; clean.</p><p id=social-history>Old.</p><math><mi>x</mi></math><p class='cookie notice'>no</p><p class=related-links>Rest</p>"
+    assert main_text(f'<article>{body}</article><p title="x">y</p>').startswith(f"{LONG.strip()}\nKept & clean.\nOld.\nx\nRest")
+    assert main_text(f"<article>{body.replace('related-links', 'share')}</article>") == f"{LONG.strip()}\nKept & clean.\nOld.\nx"
+
+
+def line_blocks(lines, window=3, surge=80):
+    """Which of (own length, linked) lines stay, by the plain definition of surge and dive."""
+    own = [0 if linked else n for n, linked in lines]
+    kept, on = set(), False
+    for i in range(len(own)):
+        mass = sum(own[i : i + window])
+        on = on and mass > 0 or not on and own[i] > 0 and mass >= surge
+        if on and any(own[j] for j in range(i, len(own)) if not any(sum(own[k : k + window]) == 0 for k in range(i, j + 1))):
+            kept.add(i)
+    return kept or {i for i in range(len(own)) if own[i] and not any(own[j] and sum(own[j : j + window]) >= surge for j in range(len(own)))}
+
+
+def test_line_blocks_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(400):
+        lines = [(rng.choice([4, 9, 30, 60, 120]), rng.random() < rng.choice([0.2, 0.7])) for _ in range(rng.randint(1, 14))]
+        texts = [(f"{i:02d}" + "x" * n)[:n] for i, (n, _) in enumerate(lines)]
+        page = "".join(f"<p><a href=x>{t}</a></p>" if linked else f"<p>{t}</p>" for t, (_, linked) in zip(texts, lines, strict=True))
+        assert main_text(page).split("\n") == ([texts[i] for i in sorted(line_blocks(lines))] or [""])
