@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     Candidates share one of 21 bands of 6 registers (at 0.8 a pair is found with
     probability 0.998). In each bucket one member, chosen by a hash of the band,
     is compared with all others, so a bucket of n costs n - 1 comparisons. What
-    that leaves unlinked is compared with the other members of its bucket: in
+    that leaves unlinked (loose) is compared with the other members of its bucket: in
     buckets of at most ``few_rows`` as pairs, unless they are in one class already
     or the triangle inequality of the distance 1 - similarity shows that they
     cannot be linked; in larger ones block by block (``block_rows`` bags), where
@@ -264,8 +264,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
         .select("band", "hash", "bag", (1 - F.col("s")).alias("d"), F.coalesce("root", "bag").alias("root"))
     )
     loose = F.col("d") > reach
-    open_ = told.groupBy("band", "hash").agg(F.count("*").alias("n"), F.count_if(loose).alias("loose")).where("loose > 0 AND n > 1")
-    buckets = told.join(open_.select("band", "hash", "n"), ["band", "hash"])
+    open_ = told.groupBy("band", "hash").agg(F.count("*").alias("n"), F.count_if(loose).alias("n_loose")).where("n_loose > 0 AND n > 1")
+    buckets = told.join(open_.select("band", "hash", "n", "n_loose"), ["band", "hash"])
     few = buckets.where(F.col("n") <= few_rows)
     left = few.where(loose).select("band", "hash", F.col("bag").alias("a"), F.col("d").alias("d_a"), F.col("root").alias("root_a"))
     near = F.abs(F.col("d_a") - F.col("d")) <= reach + 1e-12
@@ -274,11 +274,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     more = left.join(few, same & near & apart).select("a", F.col("bag").alias("b")).distinct()
     second = similarities(more, contents).where(F.col("s") >= threshold).select("a", "b")
 
-    number = F.ceil(F.col("n") / block_rows).cast("int")
-    many = buckets.where(F.col("n") > few_rows).join(contents, "bag").select("*", F.pmod(F.xxhash64("bag"), number).alias("own"), F.explode(F.sequence(F.lit(0), number - 1)).alias("other"))
+    # Loose bags go to all blocks of the bucket, all bags to the blocks of loose ones: with few loose bags the contents grow with n.
+    count = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
+    place = lambda c, salt: F.pmod(F.xxhash64("bag", F.lit(salt)), count(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), count(c) - 1))
+    many = buckets.where(F.col("n") > few_rows)
     # Aliases, as both sides come from one table.
-    one = many.where(loose).select(*[F.col(c).alias(n) for c, n in {"band": "band", "hash": "hash", "own": "i", "other": "j", "bag": "bag", "root": "root", "content": "content"}.items()])
-    two = many.select("band", "hash", F.col("other").alias("i"), F.col("own").alias("j"), "bag", "root", "content")
+    inner = [F.col(c).alias(c) for c in ("band", "hash", "bag", "root", "content")]
+    one = many.where(loose).join(contents, "bag").select(*inner, place("n_loose", 1).alias("i"), each("n").alias("j"))
+    two = many.join(contents, "bag").select(*inner, place("n", 2).alias("j"), each("n_loose").alias("i"))
     block = ["band", "hash", "i", "j"]
     third = one.groupBy(*block).cogroup(two.groupBy(*block)).applyInArrow(_blockwise(threshold), "a binary, b binary")
     roots = components(linked.unionByName(second).unionByName(third))
