@@ -19,19 +19,19 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import parts_for, small_batches
 
 
-def _coded(batches):
-    for batch in batches:
-        ids, codes = batch.column(0).to_pylist(), []
-        for v in batch.column(1).to_pylist():
-            codes.append(np.packbits([x is not None and x > 0 for x in v]).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.binary())], names=["id", "code"])
-
-
 def sign_codes(vectors: DataFrame, *, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """One bit for each dimension: is it above 0? Null or empty vectors have no code and are left out."""
-    small_batches(vectors.sparkSession)
+    """One bit for each dimension: is it above 0? The first is the highest bit of the first byte; missing bits of the last byte are 0.
+
+    Null or empty vectors have no code and are left out. Null components count as not above 0.
+    """
     source = vectors.where(F.col(column).isNotNull() & (F.size(column) > 0) & F.col(key).isNotNull())
-    return source.select(F.col(key).cast("bigint").alias("id"), F.col(column).cast("array<double>")).mapInArrow(_coded, "id bigint, code binary")
+    bits = F.array_join(F.transform(column, lambda x: F.when(x > 0, "1").otherwise("0")), "")
+    padded = F.rpad(bits, F.ceil(F.size(column) / 8).cast("int") * 8, F.lit("0"))
+    # Eight bits at a time, as two hexadecimal digits.
+    digits = F.transform(
+        F.sequence(F.lit(1), F.length("bits"), F.lit(8)), lambda i: F.lpad(F.conv(F.substring(F.col("bits"), i, F.lit(8)), 2, 16), 2, "0")
+    )
+    return source.select(F.col(key).cast("bigint").alias("id"), padded.alias("bits")).select("id", F.unhex(F.array_join(digits, "")).alias("code"))
 
 
 class Index:
@@ -134,7 +134,7 @@ def _searched(k: int):
     return run
 
 
-def top_k(codes: DataFrame, queries: DataFrame, *, k: int = 10, index_rows: int = 16384, query_rows: int = 1024) -> DataFrame:
+def top_k(codes: DataFrame, queries: DataFrame, *, k: int = 10, index_rows: int = 1 << 18, query_rows: int = 1024, copies: int = 64) -> DataFrame:
     """The k nearest other rows of each query by Hamming distance, ties by id: query_id, rank, id, distance.
 
     Both inputs have id and code (binary; null codes are left out). Rows of one
@@ -142,7 +142,8 @@ def top_k(codes: DataFrame, queries: DataFrame, *, k: int = 10, index_rows: int
     ids, found by a limit that is applied before the shuffle, so a code that a
     third of all rows have is no burden and nothing is lost: of equal distances
     the lesser ids win. Entries are dealt into blocks of about ``index_rows`` and
-    distinct queries into blocks of about ``query_rows``; each pair of blocks is
+    distinct queries into blocks of about ``query_rows``, larger ones where that
+    would copy the index more often than ``copies``; each pair of blocks is
     searched by its own index and gives k + 1 entries a query. A code is compared
     with codes of its length only. A query is not its own neighbour; with fewer
     rows there are fewer neighbours. Repeated ids are rows of their own, but
@@ -158,6 +159,8 @@ def top_k(codes: DataFrame, queries: DataFrame, *, k: int = 10, index_rows: int
     own = queries.where("code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("code")).join(several, "query_id", "left")
     asked = own.select("code", "skip").distinct()
     n_index, n_query = (parts_for(df.count(), rows, 1) for df, rows in ((codes, index_rows), (asked, query_rows)))
+    # Many queries make larger blocks, up to what a task holds, so that an index is built once for more of them.
+    n_query = max(min(n_query, copies), -(-n_query // 64))
     block = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.select("code", "skip", block(n_query, "code", "skip").alias("q"), every(n_index).alias("i"))
