@@ -1,4 +1,9 @@
-from marlstone.llm.license_scan import BASE, scan_licenses
+import math
+import random
+
+import pytest
+
+from marlstone.llm.license_scan import BASE, TEMPLATES, scan_licenses
 
 from .conftest import folded
 
@@ -42,3 +47,34 @@ def test_table(spark, sf001):
     texts = {r.doc_id: r.text for r in table.collect()}
     for r in scan_licenses(table).collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == expected(texts[r.doc_id])
+
+
+def test_notices_by_brute_force(spark, docs):
+    rng = random.Random(3)
+    words = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
+    texts = [None, "", "the mozilla public license applies", "Permission is hereby granted, free of charge, to any person", "mit license " * 2000]
+    for _ in range(60):
+        _, t, key = rng.choice(TEMPLATES)
+        own = t.split()
+        a = rng.randint(0, len(own))
+        texts.append(" ".join([rng.choice(words) for _ in range(rng.randint(0, 20))] + rng.choice([own, own[a:], key.split(), own[:a]]) + ["x"] * rng.randint(0, 5)))
+    folds = [folded(t) for t in texts]
+    vocabulary = set(words) | {w for p in BASE.values() for w in p.split()}
+    idf = {w: math.log((len(texts) + 1) / (sum(w in f for f in map(set, folds)) + 0.5)) + 1 for w in vocabulary}
+    got = {r.doc_id: r for r in scan_licenses(docs(texts)).collect()}
+    for i, f in enumerate(folds):
+        best = {}
+        for label, t, key in TEMPLATES:
+            t, key = t.split(), key.split()
+            offset = next(j for j in range(len(t)) if t[j : j + len(key)] == key)
+            whole = sum(idf[w] for w in t)
+            enough = min(0.25, sum(idf[w] for w in key) / whole)
+            for s in range(-offset, len(f)):
+                if f[s + offset : s + offset + len(key)] == key:
+                    share = sum(idf[w] for j, w in enumerate(t) if 0 <= s + j < len(f) and f[s + j] == w) / whole
+                    if share >= enough - 1e-9:
+                        best[label] = max(best.get(label, 0), share)
+        labels = set(best) | set(filter(None, got[i].base_labels.split(",")))
+        assert got[i].labels == ",".join(sorted(labels))
+        assert got[i].score == pytest.approx(1.0 if got[i].base_labels else max(best.values(), default=0))
+    assert got[2].labels == "mpl" and got[3].labels == "mit-text"
