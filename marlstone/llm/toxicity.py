@@ -195,8 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, ordinar
 
     Only rows whose crc32(doc_id) mod 5 is not 0 are used: 2, 3 and 4 for the
     dictionaries, 1 for the chances. The sample has at most ``toxic_rows`` and
-    ``ordinary_rows`` rows, those with the least hash of doc_id and text, and of
-    each kind no row after the one that makes ``sample_bytes`` of text full.
+    ``ordinary_rows`` rows, those of the ids with the least hash and of one id that
+    with the least hash of text, and of each kind no row after the one that makes
+    ``sample_bytes`` of text full.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -204,9 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, ordinar
     told = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(known, "doc_id")
     samples = []
     for label, most in ((1, toxic_rows), (0, ordinary_rows)):
-        chosen = told.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(most).select(fold.alias("fold"), "text")
+        # At most so many ids, and one row of each, so what reaches the driver is bounded whatever the ids' numbers of rows.
+        chosen = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        own = told.where(F.col("toxic") == label).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+        own = own.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", fold.alias("fold"), "text")
         rows, size = [], 0
-        for r in chosen.toLocalIterator():
+        for r in own.orderBy("doc_id").toLocalIterator():
             rows.append((r["fold"], lowered(None if r["text"] is None else bytes(r["text"]))))
             size += len(rows[-1][1])
             if size >= sample_bytes:
