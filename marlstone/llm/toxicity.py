@@ -202,12 +202,12 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, ordinar
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold != 0)
-    told = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(known, "doc_id")
+    told = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     samples = []
     for label, most in ((1, toxic_rows), (0, ordinary_rows)):
         # At most so many ids, and one row of each, so what reaches the driver is bounded whatever the ids' numbers of rows.
         chosen = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        own = told.where(F.col("toxic") == label).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+        own = told.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
         own = own.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", fold.alias("fold"), "text")
         rows, size = [], 0
         for r in own.orderBy("doc_id").toLocalIterator():
