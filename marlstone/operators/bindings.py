@@ -10,14 +10,14 @@ from marlstone.operators.graph import checkpointed
 
 def resolved(asked: DataFrame, nodes: DataFrame, *, name: str, label: str, key: str, prefix: str = "", external: str = "external::") -> DataFrame:
     """Asked names with the one node of that label, else an external name: name, target."""
-    known = nodes.groupBy(F.col(label).alias(name)).agg(F.count("*").alias("n"), F.min(key).alias("key"))
+    known = nodes.groupBy(F.col(label).alias(name)).agg(F.count("*").alias("_n"), F.min(key).alias("_key"))
     own = asked.select(name).distinct().join(known, name, "left")
-    return own.select(name, F.when(F.col("n") == 1, F.concat(F.lit(prefix), F.col("key").cast("string"))).otherwise(F.concat(F.lit(external), name)).alias("target"))
+    return own.select(name, F.when(F.col("_n") == 1, F.concat(F.lit(prefix), F.col("_key").cast("string"))).otherwise(F.concat(F.lit(external), name)).alias("target"))
 
 
 def supertypes(inherits: DataFrame, *, most: int = 8) -> DataFrame:
-    """All supertypes of each type by a bounded walk: sub, super, hop (the least; cycles end)."""
-    step = inherits.select("sub", F.col("super").alias("node"))
+    """All supertypes of each type by a bounded walk: sub, super, hop (the least; cycles end, no type is its own)."""
+    step = inherits.where("sub != super").select("sub", F.col("super").alias("node"))
     reach = step.select("sub", F.col("node").alias("super"), F.lit(1).alias("hop")).distinct()
     edge = step.select(F.col("sub").alias("super"), F.col("node").alias("next"))
     for hop in range(2, most + 1):

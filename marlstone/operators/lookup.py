@@ -140,10 +140,10 @@ def by_prefix(nodes: DataFrame, asked: list[str], *, key: str, name: str) -> Dat
     """Nodes whose name is an asked one or, where none is, begins with it: asked, key, how (E14: exact, prefix, ambiguous)."""
     every = F.array(*[F.lit(a) for a in asked])
     hits = nodes.select(key, name, F.explode(every).alias("asked")).where(F.col(name).startswith(F.col("asked")))
-    hits = hits.withColumn("exact_hit", F.col(name) == F.col("asked"))
-    told = hits.groupBy("asked").agg(F.max("exact_hit").alias("any_exact"), F.count("*").alias("n"))
-    how = F.when(F.col("exact_hit"), "exact").when(F.col("n") == 1, "prefix").otherwise("ambiguous")
-    return hits.join(told, "asked").where("exact_hit or not any_exact").select("asked", key, how.alias("how"))
+    hits = hits.withColumn("_exact", F.col(name) == F.col("asked"))
+    told = hits.groupBy("asked").agg(F.max("_exact").alias("_any"), F.count("*").alias("_n"))
+    how = F.when(F.col("_exact"), "exact").when(F.col("_n") == 1, "prefix").otherwise("ambiguous")
+    return hits.join(told, "asked").where("_exact or not _any").select("asked", key, how.alias("how"))
 
 
 def per_group_cap(df: DataFrame, group: str, *order: Column, cap: int, limit: int) -> DataFrame:

@@ -122,13 +122,16 @@ portable(
     r=r"""regexp_replace(text, '([a-z_]+) = "[^"]*"', '$1 = "[value]"') ~~ regexp_replace(text, '([a-z_]+) = "[^"]*"', '\1 = "[value]"', 'g')""",
 )
 portable("b8_notebook_cells", "SELECT conv_id, turn AS cell, role, length(text) AS n_chars FROM {conversations}".replace("length(text)", "CAST(length(text) AS BIGINT)"))
-portable(
-    "b9_constants",
-    "SELECT doc_id, [[name]] AS name, [[value]] AS value FROM {documents} WHERE [[has]]",
-    name=r"""regexp_extract(text, '([A-Za-z_]+) = "([^"]*)"', 1) ~~ regexp_extract(text, '([A-Za-z_]+) = "([^"]*)"', 1)""",
-    value=r"""regexp_extract(text, '([A-Za-z_]+) = "([^"]*)"', 2) ~~ regexp_extract(text, '([A-Za-z_]+) = "([^"]*)"', 2)""",
-    has=r"""text rlike '([A-Za-z_]+) = "([^"]*)"' ~~ regexp_matches(text, '([A-Za-z_]+) = "([^"]*)"')""",
-)
+
+
+@query("b9_constants", """SELECT doc_id, (i - 1)::BIGINT AS position, split_part(found, ' = ', 1) AS name, regexp_extract(found, '"([^"]*)"', 1) AS value FROM
+    (SELECT doc_id, generate_subscripts(f, 1) AS i, unnest(f) AS found FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_]+ = "[^"]*"') AS f FROM documents))""")
+def _(spark, d):
+    from marlstone.operators.lookup import constants
+
+    return constants(table(spark, d, "documents"), "doc_id")
+
+
 portable(
     "b10_markup",
     "SELECT page_id, trim([[strip]]) AS text FROM {pages}",

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import bindings as B
 from marlstone.operators import graph as G
 from marlstone.registry import portable, query, table
 
@@ -84,12 +85,27 @@ def _(spark, d):
     return G.impact(edges(spark, d), seeds)
 
 
-portable(
-    "g5_dispatch",
-    """WITH m AS (SELECT * FROM (VALUES ('Base', 'run'), ('Child', 'run'), ('Grand', 'run'), ('Child', 'stop')) AS m(owner, method)),
-    i AS (SELECT * FROM (VALUES ('Child', 'Base'), ('Grand', 'Child')) AS i(sub, super)), c AS (SELECT sub, super FROM i UNION SELECT a.sub, b.super FROM i a JOIN i b ON a.super = b.sub)
-    SELECT m.owner AS seed, m.method, n.owner AS also FROM m JOIN c ON c.super = m.owner JOIN m n ON n.owner = c.sub AND n.method = m.method""",
-)
+#: Types in SQL: a brand inherits its maker (the first digit), a maker all brands. A brand defines the types of its parts, a maker those of its small ones.
+TYPES_SQL = """i(sub, super) AS (SELECT DISTINCT p_brand, substr(p_brand, 1, 7) FROM part WHERE length(p_brand) > 7 UNION SELECT DISTINCT substr(p_brand, 1, 7), 'Brand' FROM part),
+    m(owner, method) AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 45 UNION SELECT DISTINCT substr(p_brand, 1, 7), p_type FROM part WHERE p_size < 6 UNION SELECT DISTINCT 'Brand', p_type FROM part WHERE p_size = 10),
+    c(sub, super, hop) AS (SELECT sub, super, 1 FROM i UNION SELECT a.sub, b.super, 2 FROM i a JOIN i b ON a.super = b.sub)"""
+
+
+def inheritance(spark, d):
+    part = table(spark, d, "part").select("p_brand", F.substring("p_brand", 1, 7).alias("maker"))
+    return part.select(F.col("p_brand").alias("sub"), F.col("maker").alias("super")).unionByName(part.select(F.col("maker").alias("sub"), F.lit("Brand").alias("super"))).distinct()
+
+
+def methods(spark, d):
+    part = table(spark, d, "part").select("p_brand", F.substring("p_brand", 1, 7).alias("maker"), F.col("p_type").alias("method"), "p_size")
+    own = part.where("p_size > 45").select(F.col("p_brand").alias("owner"), "method")
+    maker = part.where("p_size < 6").select(F.col("maker").alias("owner"), "method")
+    return own.unionByName(maker).unionByName(part.where("p_size = 10").select(F.lit("Brand").alias("owner"), "method"))
+
+
+@query("g5_dispatch", f"WITH {TYPES_SQL} SELECT m.owner AS seed, m.method, n.owner AS also FROM m JOIN c ON c.super = m.owner JOIN m n ON n.owner = c.sub AND n.method = m.method")
+def _(spark, d):
+    return B.dispatch(methods(spark, d), inheritance(spark, d))
 
 
 @query("g6_callgraph", f"WITH RECURSIVE {EDGES_SQL}, r(seed, node, hop) AS (SELECT 'n' || n_nationkey, 'n' || n_nationkey, 0 FROM nation UNION SELECT seed, CASE WHEN source = node THEN target ELSE source END, hop + 1 FROM r JOIN (SELECT * FROM edges WHERE relation <> 'calls') x ON node IN (source, target) WHERE hop < 2), n AS (SELECT DISTINCT seed, node FROM r) SELECT a.seed, e.source, e.target FROM edges e JOIN n a ON a.node = e.source JOIN n b ON b.node = e.target AND a.seed = b.seed WHERE relation <> 'calls'")
@@ -194,16 +210,21 @@ def _(spark, d):
     return G.risk(reach, fan_in).withColumn("risk", F.round("risk", 6))
 
 
-portable(
-    "g22_edge_resolution",
-    """WITH d AS (SELECT p_name, count(*) AS n, min(p_partkey) AS id FROM {part} GROUP BY p_name)
-    SELECT q.name, CASE WHEN d.n = 1 THEN concat('p', d.id) ELSE concat('external::', q.name) END AS target FROM (SELECT DISTINCT p_name AS name FROM {part} UNION SELECT 'unknown') AS q LEFT JOIN d ON d.p_name = q.name""",
-)
-portable(
-    "g23_di_binding",
-    """WITH b AS (SELECT * FROM (VALUES ('Store', 'SqlStore'), ('Clock', 'SystemClock')) AS b(port, impl)), i AS (SELECT * FROM (VALUES ('Service', 'Store'), ('Job', 'Clock'), ('Job', 'Mailer')) AS i(consumer, port))
-    SELECT i.consumer, coalesce(b.impl, concat('external::', i.port)) AS target FROM i LEFT JOIN b ON b.port = i.port""",
-)
+@query("g22_edge_resolution", """WITH d AS (SELECT p_name, count(*) AS n, min(p_partkey) AS id FROM part GROUP BY p_name)
+    SELECT q.name, CASE WHEN d.n = 1 THEN concat('p', d.id) ELSE concat('external::', q.name) END AS target FROM (SELECT DISTINCT p_name AS name FROM part UNION SELECT 'unknown') AS q LEFT JOIN d ON d.p_name = q.name""")
+def _(spark, d):
+    part = table(spark, d, "part")
+    asked = part.select(F.col("p_name").alias("name")).unionByName(spark.createDataFrame([("unknown",)], "name string"))
+    return B.resolved(asked, part, name="name", label="p_name", key="p_partkey", prefix="p")
+
+
+@query("g23_di_binding", """WITH b AS (SELECT p_type AS port, min(p_brand) AS impl FROM part WHERE p_size = 7 GROUP BY p_type HAVING count(DISTINCT p_brand) = 1)
+    SELECT p_name AS consumer, coalesce(b.impl, concat('external::', p_type)) AS target FROM part LEFT JOIN b ON b.port = p_type""")
+def _(spark, d):
+    """A part's type is the port it needs; types that one brand alone has in size 7 are bound to it."""
+    part = table(spark, d, "part")
+    binds = part.where("p_size = 7").select(F.col("p_type").alias("port"), F.col("p_brand").alias("impl"))
+    return B.injected(binds, part.select(F.col("p_name").alias("consumer"), F.col("p_type").alias("port")))
 
 
 @query("g24_sql_references")
@@ -214,22 +235,30 @@ def _(spark, d):
     return table_references(spark, spark.createDataFrame(rows, "id int, statement string"))
 
 
-portable(
-    "g25_doc_references",
-    """WITH n AS (SELECT p_name, count(*) AS n FROM {part} GROUP BY p_name)
-    SELECT e.event_type, n.p_name, CASE WHEN n.n = 1 THEN 'EXTRACTED' ELSE 'AMBIGUOUS' END AS confidence FROM (SELECT DISTINCT event_type FROM {events}) e JOIN n ON length(n.p_name) >= 6 AND contains(n.p_name, substr(e.event_type, 1, 2))""",
-)
+@query("g25_doc_references", """WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+ = "[^"]*"|[A-Za-z]+\\.[A-Za-z]+|[A-Za-z]{6,}')) AS span FROM documents WHERE lang = 'en'),
+    t AS (SELECT DISTINCT doc_id, CASE WHEN contains(span, '.') THEN regexp_extract(span, '[^.]*$') ELSE span END AS term FROM s WHERE length(span) >= 6 OR contains(span, '.')),
+    w AS (SELECT word AS term, count(*) AS n FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM benchmark) GROUP BY word)
+    SELECT doc_id, t.term, CASE WHEN n = 1 THEN 'EXTRACTED' ELSE 'AMBIGUOUS' END AS confidence FROM t JOIN w ON w.term = t.term""")
+def _(spark, d):
+    """Words and dotted terms of English documents stand for code spans, the words of a benchmark item for its symbols."""
+    labels = table(spark, d, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).distinct()
+    english = table(spark, d, "documents").where("lang = 'en'")
+    return B.doc_references(english, labels, key="doc_id", text="text", label="word", span='([A-Za-z]+ = "[^"]*"|[A-Za-z]+\\.[A-Za-z]+|[A-Za-z]{6,})')
+
+
 portable("g26_hot_data", CTE + " SELECT target AS node, count(*) AS writes FROM e WHERE flag = 'R' GROUP BY target HAVING count(*) >= 8")
 portable(
     "g27_community_lookup",
     CTE + ", m AS (SELECT target % 20 AS community, target AS node, count(*) AS degree FROM e GROUP BY target % 20, target), r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node) AS n FROM m) SELECT community, node, degree FROM r WHERE n <= 5",
 )
 portable("g28_codebase_map", "SELECT source AS directory, count(*) AS files, min(lang) AS layer, CAST(sum(CASE WHEN n_chars > 5000 THEN 1 ELSE 0 END) AS BIGINT) AS entry_points FROM {documents} GROUP BY source")
-portable(
-    "g29_inherited_bind",
-    """WITH m AS (SELECT * FROM (VALUES ('Base', 'run'), ('Mixin', 'run'), ('Base', 'save')) AS m(owner, method)), i AS (SELECT * FROM (VALUES ('Child', 'Base'), ('Child', 'Mixin'), ('Other', 'Base')) AS i(sub, super))
-    SELECT i.sub, m.method, CASE WHEN count(*) = 1 THEN min(m.owner) END AS bound FROM i JOIN m ON m.owner = i.super GROUP BY i.sub, m.method""",
-)
+
+
+@query("g29_inherited_bind", f"""WITH {TYPES_SQL}, f AS (SELECT c.sub, m.method, hop, count(*) AS n, min(c.super) AS super FROM c JOIN m ON m.owner = c.super WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.owner = c.sub AND x.method = m.method) GROUP BY c.sub, m.method, hop),
+    r AS (SELECT *, row_number() OVER (PARTITION BY sub, method ORDER BY hop) AS place FROM f)
+    SELECT sub, method, CASE WHEN n = 1 THEN super END AS bound FROM r WHERE place = 1""")
+def _(spark, d):
+    return B.inherited(methods(spark, d), inheritance(spark, d))
 
 
 @query("g30_call_edges")
@@ -240,14 +269,49 @@ def _(spark, d):
 
 
 _PY = "(VALUES ('a.py', 'import os'), ('a.py', 'from b import helper'), ('b.py', 'x = 1'), ('c.py', 'import b'))"
-portable("g31_import_edges", f"SELECT path, [[m]] AS module FROM {_PY} AS s(path, line) WHERE line LIKE 'import %' OR line LIKE 'from %'", m=r"regexp_extract(line, '^(import|from) ([a-z_.]+)', 2) ~~ regexp_extract(line, '^(import|from) ([a-z_.]+)', 2)")
+
+
+#: Files made of tables: each nation's imports its region's, some by a form that is no import.
+FILES_SQL = """f AS (SELECT concat('n', n_nationkey, '.', CASE n_nationkey % 3 WHEN 0 THEN 'py' WHEN 1 THEN 'java' ELSE 'js' END) AS path,
+      CASE n_nationkey % 3 WHEN 0 THEN concat('from r', n_regionkey, ' import x') WHEN 1 THEN concat('import static r', n_regionkey, ';') ELSE concat('import y from "r', n_regionkey, '"') END AS line FROM nation
+    UNION ALL SELECT concat('r', r_regionkey, '.py'), concat('# import n', r_regionkey) FROM region)"""
+
+
+def files(spark, d):
+    kind = F.col("n_nationkey") % 3
+    suffix = F.when(kind == 0, "py").when(kind == 1, "java").otherwise("js")
+    region = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))
+    line = F.when(kind == 0, F.concat(F.lit("from "), region, F.lit(" import x"))).when(kind == 1, F.concat(F.lit("import static "), region, F.lit(";"))).otherwise(F.concat(F.lit('import y from "'), region, F.lit('"')))
+    own = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit("."), suffix).alias("path"), line.alias("line"))
+    key = F.col("r_regionkey").cast("string")
+    return own.unionByName(table(spark, d, "region").select(F.concat(F.lit("r"), key, F.lit(".py")).alias("path"), F.concat(F.lit("# import n"), key).alias("line")))
+
+
+@query("g31_import_edges", f"WITH {FILES_SQL} SELECT path, regexp_extract(line, 'r[0-9]+') AS module FROM f WHERE path LIKE 'n%'")
+def _(spark, d):
+    return B.import_edges(files(spark, d))
+
+
 portable("g32_dependencies", "SELECT o_custkey AS target, count(*) AS importers FROM {orders} GROUP BY o_custkey")
-portable("g33_reverse_imports", f"SELECT s.path, concat(substr(s.line, 8), '.py') AS imports FROM {_PY} AS s(path, line) JOIN (SELECT DISTINCT path FROM {_PY} AS t(path, line)) p ON p.path = concat(substr(s.line, 8), '.py') WHERE s.line LIKE 'import %'")
-portable(
-    "g34_error_recovery",
-    "SELECT id, [[t]] AS recovered FROM (VALUES (1, 'garbage ( create table t9 (x int)'), (2, 'nothing here'), (3, 'CREATE TABLE Z (y int')) AS s(id, body) WHERE lower(body) LIKE '%create table%'",
-    t="regexp_extract(lower(body), 'create table ([a-z0-9_]+)', 1) ~~ regexp_extract(lower(body), 'create table ([a-z0-9_]+)', 1)",
-)
+
+
+@query("g33_reverse_imports", f"WITH {FILES_SQL} SELECT path, concat(regexp_extract(line, 'r[0-9]+'), '.py') AS imports FROM f WHERE path LIKE 'n%.py'")
+def _(spark, d):
+    return B.reverse_imports(B.import_edges(files(spark, d)), files(spark, d))
+
+
+@query("g34_error_recovery", """SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN concat('t', n_nationkey) WHEN 1 THEN concat('a', n_nationkey, ',b', n_nationkey) ELSE '' END AS tables, 'recovered' AS provenance, CASE WHEN n_nationkey % 4 = 3 THEN 1 ELSE 0 END::BIGINT AS unrecovered
+    FROM nation WHERE n_nationkey % 4 <> 2""")
+def _(spark, d):
+    """Broken statements made of nations: one table, two, none in a comment and a string, a name that is missing."""
+    key, kind = F.col("n_nationkey").cast("string"), F.col("n_nationkey") % 4
+    body = (
+        F.when(kind == 0, F.concat(F.lit("garbage (\nCREATE TABLE t"), key, F.lit(" (x int")))
+        .when(kind == 1, F.concat(F.lit("create table if not exists b"), key, F.lit(" (y\n)) oops\n  create table a"), key, F.lit(" (")))
+        .when(kind == 2, F.concat(F.lit("-- create table c"), key, F.lit("\nselect 'create table d' /*\ncreate table e */")))
+        .otherwise(F.lit("create table (x int)"))
+    )
+    return B.recovered_tables(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), body.alias("body")), key="id", body="body")
 
 
 @query("g35_embedded_sql")
@@ -258,10 +322,17 @@ def _(spark, d):
     return embedded_references(spark, spark.createDataFrame(rows, "path string, text string"))
 
 
-portable(
-    "g36_entity_tables",
-    "SELECT q.entity, CASE WHEN d.n = 1 THEN concat('table::', q.entity) ELSE concat('external::', q.entity) END AS target FROM (SELECT DISTINCT p_type AS entity FROM {part} UNION SELECT 'NOPE') AS q LEFT JOIN (SELECT n_name, count(*) AS n FROM {nation} GROUP BY n_name) d ON d.n_name = q.entity",
-)
+@query("g36_entity_tables", """WITH e AS (SELECT DISTINCT substr(s_name, 1, 8) AS entity FROM supplier UNION SELECT n_name FROM nation UNION SELECT 'NOPE'), t AS (SELECT n_name AS name, count(*) AS n, min(n_nationkey) AS id FROM (SELECT n_name, n_nationkey FROM nation UNION ALL SELECT n_name, n_nationkey + 100 FROM nation WHERE n_regionkey = 2) GROUP BY n_name)
+    SELECT entity, CASE WHEN t.n = 1 THEN concat('table::', t.id) ELSE concat('external::', entity) END AS target FROM e LEFT JOIN t ON t.name = entity""")
+def _(spark, d):
+    """Nations declare tables, those of one region twice; suppliers' name stems declare none."""
+    nation = table(spark, d, "nation")
+    twice = nation.unionByName(nation.where("n_regionkey = 2").withColumn("n_nationkey", F.col("n_nationkey") + 100))
+    entities = nation.select(F.col("n_name").alias("entity")).unionByName(table(spark, d, "supplier").select(F.substring("s_name", 1, 8).alias("entity")))
+    entities = entities.unionByName(spark.createDataFrame([("NOPE",)], "entity string"))
+    return B.resolved(entities, twice, name="entity", label="n_name", key="n_nationkey", prefix="table::")
+
+
 portable("g37_line_scan", "SELECT doc_id, [[n]] AS definitions FROM {documents} WHERE n_chars > 10000", n=r"CAST(size(regexp_extract_all(text, '(?m)^[A-Z][a-z]+', 0)) AS BIGINT) ~~ CAST(len(regexp_extract_all(text, '(?m)^[A-Z][a-z]+')) AS BIGINT)")
 portable("g38_near_symbols", "SELECT p_name, min(levenshtein(p_name, 'red wigdet')) AS distance FROM {part} WHERE levenshtein(p_name, 'red wigdet') <= 5 GROUP BY p_name")
 portable(
@@ -276,11 +347,13 @@ portable(
     "g41_impacted_docs",
     "SELECT d.doc_id FROM {documents} d WHERE EXISTS (SELECT 1 FROM (VALUES ('license'), ('token'), ('mail')) AS c(symbol) WHERE contains(d.text, c.symbol))",
 )
-portable(
-    "g42_scope_binding",
-    """WITH d AS (SELECT * FROM (VALUES ('run', 'pkg.a', 1), ('run', 'pkg.b', 2), ('stop', 'pkg.a', 3)) AS d(name, scope, id)), u AS (SELECT * FROM (VALUES ('run', 'pkg.a'), ('run', 'pkg.c'), ('stop', 'pkg.b')) AS u(name, scope))
-    SELECT u.name, u.scope, CASE WHEN count(d.id) = 1 THEN min(d.id) END AS bound FROM u LEFT JOIN d ON d.name = u.name AND d.scope = u.scope GROUP BY u.name, u.scope""",
-)
+
+
+@query("g42_scope_binding", """WITH u AS (SELECT DISTINCT p_name AS name, p_brand AS scope FROM part WHERE p_size > 20), d AS (SELECT p_name AS name, p_brand AS scope, count(*) AS n, min(p_partkey) AS id FROM part WHERE p_size <= 40 GROUP BY p_name, p_brand)
+    SELECT u.name, u.scope, CASE WHEN d.n = 1 THEN d.id END AS bound FROM u LEFT JOIN d ON d.name = u.name AND d.scope = u.scope""")
+def _(spark, d):
+    part = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("scope"), F.col("p_partkey").alias("id"), "p_size")
+    return B.scoped(part.where("p_size <= 40"), part.where("p_size > 20"))
 
 
 @query("h13_supersession", "WITH RECURSIVE l AS (SELECT n AS id, CASE WHEN n % 5 <> 0 THEN n + 1 END AS next FROM (SELECT DISTINCT user_id AS n FROM events)), r(id, cur, hop) AS (SELECT id, id, 0 FROM l UNION ALL SELECT r.id, l.next, hop + 1 FROM r JOIN l ON r.cur = l.id WHERE l.next IS NOT NULL AND hop < 8) SELECT id, arg_max(cur, hop) AS terminal FROM r GROUP BY id")

@@ -4,55 +4,78 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import freshness as R
+from marlstone.operators.lookup import ranked
 from marlstone.registry import portable, query, table
 
+
 SINCE = "TIMESTAMP_NTZ '2024-01-20 00:00:00' ~~ TIMESTAMP '2024-01-20 00:00:00'"
 
-portable(
-    "i1_file_freshness",
-    """WITH f AS (SELECT user_id, max(ts) AS last_modified, sum(CASE WHEN ts >= [[since]] THEN 1 ELSE 0 END) AS n FROM {events} GROUP BY user_id)
-    SELECT user_id, last_modified, round(CAST(n AS DOUBLE) / max(n) OVER (), 6) AS churn FROM f""",
-    since=SINCE,
-)
+
+def since():
+    return F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")
+
+
+@query("i1_file_freshness", """WITH f AS (SELECT user_id, max(ts) AS last_modified, sum(CASE WHEN ts >= TIMESTAMP '2024-01-20 00:00:00' THEN 1 ELSE 0 END) AS n FROM events GROUP BY user_id)
+    SELECT user_id, last_modified, round(CAST(n AS DOUBLE) / max(n) OVER (), 6) AS churn FROM f""")
+def _(spark, d):
+    return R.churn(table(spark, d, "events"), "user_id", "ts", since=since())
+
+
 portable(
     "i2_commits_since",
     """WITH a AS (SELECT user_id, max(CASE WHEN event_type = 'signup' THEN ts END) AS anchor FROM {events} GROUP BY user_id)
     SELECT e.user_id, count(DISTINCT e.event_id) AS commits_since FROM {events} e JOIN a ON e.user_id = a.user_id WHERE e.ts > a.anchor GROUP BY e.user_id""",
 )
-portable(
-    "i3_drift",
-    """WITH a AS (SELECT user_id, greatest(max(CASE WHEN event_type = 'signup' THEN ts END), max(CASE WHEN event_type = 'purchase' THEN ts END)) AS anchor FROM {events} GROUP BY user_id),
-    c AS (SELECT a.user_id, sum(CASE WHEN e.ts > a.anchor THEN 1 ELSE 0 END) AS n FROM a JOIN {events} e ON e.user_id = a.user_id GROUP BY a.user_id)
-    SELECT user_id, CAST(n AS BIGINT) AS commits_since, n >= 3 AND user_id % 11 <> 0 AS drifted FROM c""",
-)
+
+
+@query("i3_drift", """WITH a AS (SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'signup') > 0 AND count(*) FILTER (event_type = 'purchase') > 0 THEN max(ts) FILTER (event_type IN ('signup', 'purchase')) END AS anchor FROM events GROUP BY user_id),
+    c AS (SELECT a.user_id, sum(CASE WHEN e.ts > a.anchor THEN 1 ELSE 0 END) AS n FROM a JOIN events e ON e.user_id = a.user_id GROUP BY a.user_id)
+    SELECT user_id, CAST(n AS BIGINT) AS commits_since, n >= 3 AND user_id % 11 <> 0 AS drifted FROM c""")
+def _(spark, d):
+    at = lambda k: F.when(F.col("event_type") == k, F.col("ts"))
+    return R.drift(table(spark, d, "events"), "user_id", "ts", anchors=[at("signup"), at("purchase")], historical=F.col("user_id") % 11 == 0)
+
+
 portable(
     "i4_waves_behind",
     """WITH p AS (SELECT DISTINCT l_orderkey AS w, l_partkey AS f FROM {lineitem})
     SELECT a.w, count(DISTINCT b.w) AS behind FROM p a JOIN p b ON a.f = b.f AND b.w > a.w GROUP BY a.w""",
 )
-portable(
-    "i5_drift_worklist",
-    """SELECT user_id, count(*) AS commits_since, row_number() OVER (ORDER BY count(*) DESC, user_id) AS place FROM {events} WHERE ts >= [[since]] GROUP BY user_id""",
-    since=SINCE,
-)
-portable(
-    "i6_half_life",
-    """WITH g AS (SELECT user_id, [[gap]] AS hours FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM {events}) x),
-    m AS (SELECT user_id, count(hours) AS n, [[median]] AS mid FROM g GROUP BY user_id)
-    SELECT user_id, CASE WHEN n < 2 THEN 30.0 ELSE round(least(365.0, greatest(30.0, 6 * mid)), 4) END AS half_life FROM m""".replace("30.0", "CAST(30 AS DOUBLE)").replace("365.0", "CAST(365 AS DOUBLE)"),
-    gap="CAST(timestampdiff(MICROSECOND, was, ts) AS DOUBLE) / 3600000000 ~~ CAST(date_diff('microsecond', was, ts) AS DOUBLE) / 3600000000",
-    median="percentile(hours, 0.5) ~~ median(hours)",
-)
-portable(
-    "i7_policy_order",
-    """SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN toxic = 0 THEN 0 ELSE 1 END, quality DESC, doc_id % 6, doc_id % 8, doc_id) AS place FROM {labels}""",
-)
-portable(
-    "i8_duplicates",
-    """WITH k AS (SELECT doc_id, lang, [[norm]] AS summary FROM {documents})
-    SELECT min(doc_id) AS first_id, count(*) AS n FROM k GROUP BY lang, summary HAVING count(*) > 1""",
-    norm="regexp_replace(lower(text), '[^a-z0-9]+', ' ') ~~ regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')",
-)
+
+
+@query("i5_drift_worklist", "SELECT user_id, count(*) AS commits_since, row_number() OVER (ORDER BY count(*) DESC, user_id)::INT AS place FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY user_id")
+def _(spark, d):
+    late = table(spark, d, "events").where(F.col("ts") >= since()).groupBy("user_id").agg(F.count("*").alias("commits_since"))
+    return ranked(late, F.col("commits_since").desc(), F.col("user_id"))
+
+
+@query("i6_half_life", """WITH k AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events),
+    g AS (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 86400000000.0::DOUBLE AS days FROM k WHERE place <= 40),
+    m AS (SELECT user_id, count(*) AS n, median(days) AS mid FROM g GROUP BY user_id)
+    SELECT user_id, CASE WHEN n < 5 THEN 30::DOUBLE ELSE round(least(365::DOUBLE, greatest(30::DOUBLE, 60 * mid)), 4) END AS half_life FROM m""")
+def _(spark, d):
+    out = R.half_life(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", times=60.0)
+    return out.select("user_id", F.round("half_life", 4).alias("half_life"))
+
+
+@query("i7_policy_order", "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN toxic = 0 THEN 0 ELSE 1 END, quality DESC, doc_id % 6, doc_id % 8, doc_id)::INT AS place FROM labels")
+def _(spark, d):
+    policy = F.when(F.col("toxic") == 0, 0).otherwise(1)
+    return ranked(table(spark, d, "labels"), policy, F.col("quality").desc(), F.col("doc_id") % 6, F.col("doc_id") % 8, F.col("doc_id")).select("doc_id", "place")
+
+
+@query("i8_duplicates", """WITH k AS (SELECT doc_id, lang, regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') AS summary, regexp_extract_all(text, '[0-9a-f]{40}|[a-z0-9.]+@[a-z0-9.]+') AS refs FROM documents),
+    s AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, summary) AS first_key FROM k),
+    r AS (SELECT DISTINCT doc_id, unnest(refs) AS ref FROM k), t AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY ref) AS first_key FROM r)
+    SELECT doc_id, first_key, 'equal summary' AS reason FROM s WHERE doc_id <> first_key
+    UNION ALL SELECT doc_id, min(first_key), 'shared evidence' FROM t WHERE doc_id <> first_key GROUP BY doc_id""")
+def _(spark, d):
+    """Evidence of a document: the keys and mail addresses that it names."""
+    docs = table(spark, d, "documents").withColumn("refs", F.regexp_extract_all("text", F.lit("[0-9a-f]{40}|[a-z0-9.]+@[a-z0-9.]+"), F.lit(0)))
+    return R.duplicates(docs, "doc_id", summary="text", groups=["lang"], evidence="refs")
+
+
 portable(
     "i9_consolidation",
     """WITH t AS (SELECT l_orderkey, [[agg]] AS targets FROM (SELECT DISTINCT l_orderkey, l_suppkey % 10 AS t FROM {lineitem}) x GROUP BY l_orderkey)
