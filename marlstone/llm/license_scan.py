@@ -116,12 +116,16 @@ def scan_licenses(docs: DataFrame, *, base: dict[str, str] = BASE, templates=TEM
     # One row for each document and notice whose key phrase's words it has.
     every = F.array(*[template(*x) for x in notices])
     few = scanned.where("words is not null")
-    asked = few.select("row", "present", "words", F.explode(every).alias("t")).where(F.size(F.array_except("t.key", "present")) == 0)
-    own = F.slice(F.filter("t.ranked", lambda w: F.array_contains("present", w)), 1, rare)
-    asked = asked.select("row", "words", "t", F.array_union(own, F.col("t.best")).alias("looked_up"))
+    # What depends on the notice alone is made once for it, as an output of explode; a projection would be repeated for each word.
+    def looked(t: Column) -> Column:
+        own = F.array_union(F.slice(F.filter(t["ranked"], lambda w: F.array_contains("present", w)), 1, rare), t["best"])
+        postings = F.transform(t["words"], lambda w, p: F.struct(w.alias("w"), p.alias("p")))
+        return F.struct(t.alias("t"), own.alias("looked_up"), F.filter(postings, lambda x: F.array_contains(own, x["w"])).alias("postings"))
+
+    plausible = F.filter(every, lambda t: F.size(F.array_except(t["key"], F.col("present"))) == 0)
+    asked = few.select("row", "words", F.explode(F.transform(plausible, looked)).alias("x")).select("row", "words", "x.t", "x.looked_up", "x.postings")
     hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains("looked_up", h["w"]))
-    postings = F.transform("t.words", lambda w, p: F.struct(w.alias("w"), p.alias("p")))
-    asked = asked.select("row", "words", "t", "looked_up", hits.alias("hits"), F.filter(postings, lambda x: F.array_contains("looked_up", x["w"])).alias("postings"))
+    asked = asked.select("row", "words", "t", "looked_up", hits.alias("hits"), "postings")
     votes = F.flatten(F.transform("hits", lambda h: F.transform(F.filter("postings", lambda x: x["w"] == h["w"]), lambda x: h["i"] - x["p"])))
     asked = asked.select("row", "words", "t", "looked_up", "postings", F.array_distinct(votes).alias("places"))
     # A document may begin inside the notice, so a place may be negative while its key phrase stands.
