@@ -47,10 +47,6 @@ def _literal(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def _literal(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def document_frequencies(present: DataFrame) -> tuple[int, dict[str, int]]:
     """Rows, and in how many of them each of the present words occurs (as many numbers as the notices have words)."""
     found = present.select(F.explode_outer(F.array_insert("present", 1, F.lit(None).cast("string"))).alias("word"))
