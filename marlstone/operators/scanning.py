@@ -17,26 +17,39 @@ RULES = (
 )
 
 
+def _placed(line: Column, matches: Column) -> Column:
+    """Each of a line's matches, in order, with its first character (from 1): sought from the end of the one before."""
+    none = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<matched:string,start:int>>").alias("found"))
+
+    def add(told: Column, m: Column) -> Column:
+        start = F.call_function("locate", m, line, told["next"])
+        return F.struct((start + F.length(m)).alias("next"), F.concat(told["found"], F.array(F.struct(m.alias("matched"), start.alias("start")))).alias("found"))
+
+    return F.aggregate(matches, none, add)["found"]
+
+
 def scan(docs: DataFrame, *, rules=RULES, key: str = "doc_id", most_bytes: int = 5 << 20, most_line: int = 32 << 10) -> DataFrame:
     """Every rule's matches in every line: key, line_no, rule, ord, start, stop, matched.
 
     The rules are few and become columns of the row, so there is no join; a
     rule's pattern runs only on lines that hold its keyword. Longer files and
     lines than the bounds are not scanned, which is the operator's contract.
+    Places are right for patterns that look at nothing beside their match.
     """
     rows = docs.where(F.octet_length("text") <= most_bytes).select(key, F.posexplode(lines(F.col("text"))).alias("line_no", "line"))
     rows = rows.where(F.octet_length("line") <= most_line)
     hits = [
         F.when(
             F.contains("line", F.lit(word)),
-            F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(rule).alias("rule"), F.lit(n).alias("ord"), m.alias("matched"))),  # noqa: B023
-        ).otherwise(F.array().cast("array<struct<rule:string,ord:int,matched:string>>"))
+            F.transform(
+                _placed(F.col("line"), F.regexp_extract_all("line", F.lit(pattern), F.lit(0))),
+                lambda m: F.struct(F.lit(rule).alias("rule"), F.lit(n).alias("ord"), m["matched"].alias("matched"), m["start"].cast("bigint").alias("start")),  # noqa: B023
+            ),
+        ).otherwise(F.array().cast("array<struct<rule:string,ord:int,matched:string,start:bigint>>"))
         for rule, n, word, pattern in rules
     ]
-    found = rows.select(key, "line_no", "line", F.explode(F.concat(*hits)).alias("hit")).select(key, "line_no", "line", "hit.*")
-    return found.select(key, F.col("line_no").cast("bigint").alias("line_no"), "rule", "ord", "matched", F.expr("instr(line, matched)").cast("bigint").alias("start")).withColumn(
-        "stop", F.col("start") + F.length("matched")
-    )
+    found = rows.select(key, F.col("line_no").cast("bigint").alias("line_no"), F.explode(F.concat(*hits)).alias("hit")).select(key, "line_no", "hit.*")
+    return found.withColumn("stop", F.col("start") + F.length("matched"))
 
 
 def without_overlaps(found: DataFrame, *, key: str = "doc_id") -> DataFrame:

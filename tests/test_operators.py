@@ -1,10 +1,11 @@
 """Properties of operators that a single comparison does not show."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import graph, incremental, retrieval
+from marlstone.operators import graph, incremental, retrieval, scanning
 
 
 def test_bm25_ignores_documents_without_the_words(spark):
@@ -77,3 +78,25 @@ def test_label_propagation_goes_on_for_24_rounds(spark):
     assert rounds[8] != rounds[24] != rounds[23]
     table = spark.createDataFrame(pairs, "a int, b int, weight int")
     assert {r.node: r.community for r in graph.label_propagation(table).collect()} == rounds[24]
+
+
+def test_scan_places_every_match(spark):
+    texts = [None, "", "a@b.c and a@b.c, xa@b.c a@b.c\n1.2.3.4 11.2.3.4 1.2.3.4", 'token = "x" my_token = "x" token = "x"', "é@b.c a@b.c é a@b.c" * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.line_no, r.ord, r.start, r.stop, r.matched) for r in scanning.scan(docs).collect())
+    want = sorted(
+        (i, at, n, m.start() + 1, m.end() + 1, m.group())
+        for i, text in enumerate(texts)
+        for at, line in enumerate((text or "").split("\n"))
+        for _, n, word, pattern in scanning.RULES
+        if word in line
+        for m in re.finditer(pattern, line)
+    )
+    assert got == want and len({x[:4] for x in got}) == len(got)
+
+
+def test_overlaps_hang_on_true_places(spark):
+    rules = (("pair", 1, "ab", "ab!"), ("letters", 2, "ab", "ab"))
+    docs = spark.createDataFrame([(1, "ab ab!")], "doc_id bigint, text string")
+    kept = scanning.without_overlaps(scanning.scan(docs, rules=rules)).collect()
+    assert sorted((r.rule, r.start) for r in kept) == [("letters", 1), ("pair", 4)]
