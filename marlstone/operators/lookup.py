@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.graph import checkpointed
+
 #: A constant is a name, an equals sign and a quoted value.
 CONSTANT = r'([A-Za-z_]+) = "([^"]*)"'
 
@@ -152,16 +154,26 @@ def per_group_cap(df: DataFrame, group: str, *order: Column, cap: int, limit: in
     return ranked.drop("_place").orderBy(*order).limit(limit)
 
 
-def ranked(df: DataFrame, *order: Column, place: str = "place") -> DataFrame:
-    """All rows with their place in one order, from 1, without a window over the whole table.
+def ranked(df: DataFrame, *order: Column, within: tuple[str, ...] = (), place: str = "place") -> DataFrame:
+    """All rows with their place in one order, or within each group, from 1, without a window over a table or a group.
 
-    Rows are sorted by ranges over all tasks; a task's first place is the number
-    of rows in the tasks before it, one count each.
+    Rows are sorted by ranges over all tasks, so that a group of any size is
+    shared out; a task's first place is the number of rows in the tasks before
+    it, one count each. A group's first row has the least place of the group.
+    The sorted rows are checkpointed: ranges come from a sample, and a second
+    sort could draw them elsewhere. Null is a group of its own.
     """
-    sorted_ = df.orderBy(*order).withColumn("_task", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
+    at = df.orderBy(*within, *order).withColumn("_task", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
+    sorted_ = checkpointed(at)
     counts = sorted_.groupBy("_task").agg(F.count("*").alias("_n"))
     before = counts.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before"))
     # One row a task: as many numbers as there are shuffle partitions.
-    out = sorted_.join(F.broadcast(before), "_task")
     number = F.col("_before") + F.col("_in") - F.shiftleft(F.col("_task").cast("bigint"), 33) + 1
-    return out.withColumn(place, number.cast("int")).drop("_task", "_in", "_before")
+    out = sorted_.join(F.broadcast(before), "_task").withColumn(place, number).drop("_task", "_in", "_before")
+    if not within:
+        return out
+    # Joined on a key without nulls, as adaptive execution then splits a hot group.
+    key = F.to_json(F.struct(*within), {"ignoreNullFields": "false"})
+    out = out.withColumn("_key", key)
+    first = out.groupBy("_key").agg(F.min(place).alias("_first"))
+    return out.join(first, "_key").withColumn(place, F.col(place) - F.col("_first") + 1).drop("_key", "_first")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import tokens
 from marlstone.functions.vectors import dot
+from marlstone.operators import lookup as L
 from marlstone.operators import retrieval as R
 from marlstone.registry import portable, query, table
 
@@ -163,16 +164,22 @@ portable(
     sha="sha2(lower(text), 256) ~~ sha256(lower(text))",
     agg="array_join(array_sort(collect_set(source)), ',') ~~ string_agg(DISTINCT source, ',' ORDER BY source)",
 )
-portable(
-    "f14_stable_partition",
-    "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang <> 'en' THEN 1 ELSE 0 END, n_chars DESC, doc_id) AS place FROM {documents}",
-)
-portable(
-    "f15_drift_partition",
-    """WITH t AS (SELECT d.doc_id, d.source, d.n_chars, coalesce(l.quality, 1) = 0 AS drifted FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id),
+@query("f14_stable_partition", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang <> 'en' THEN 1 ELSE 0 END, n_chars DESC, doc_id) AS place FROM documents")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    other = F.when(F.col("lang") != "en", 1).otherwise(0)
+    return L.ranked(docs, other, F.col("n_chars").desc(), F.col("doc_id"), within=("source",)).select("doc_id", "place")
+
+
+@query("f15_drift_partition", """WITH t AS (SELECT d.doc_id, d.source, d.n_chars, coalesce(l.quality, 1) = 0 AS drifted FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
     b AS (SELECT *, max(CASE WHEN NOT drifted THEN n_chars END) OVER (PARTITION BY source) AS fresh FROM t)
-    SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN drifted AND fresh >= 0.8 * n_chars THEN 1 ELSE 0 END, n_chars DESC, doc_id) AS place FROM b""",
-)
+    SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN drifted AND fresh >= 0.8 * n_chars THEN 1 ELSE 0 END, n_chars DESC, doc_id) AS place FROM b""")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    told = docs.withColumn("drifted", F.coalesce("quality", F.lit(1)) == 0)
+    fresh = told.where("NOT drifted").groupBy("source").agg(F.max("n_chars").alias("fresh"))
+    late = F.when(F.col("drifted") & (F.col("fresh") >= 0.8 * F.col("n_chars")), 1).otherwise(0)
+    return L.ranked(told.join(fresh, "source", "left"), late, F.col("n_chars").desc(), F.col("doc_id"), within=("source",)).select("doc_id", "place")
 
 
 @query("f16_two_hop", f"WITH {BM25_SQL}, s AS (SELECT DISTINCT word FROM (SELECT unnest(l) AS word FROM w WHERE doc_id IN (SELECT doc_id FROM rk WHERE qid = 1 AND rank <= 3)) WHERE length(word) >= 4 AND word NOT IN ('with', 'that') ORDER BY word LIMIT 5), h AS (SELECT word, doc_id FROM documents, s WHERE contains(text, word)) SELECT DISTINCT doc_id FROM h WHERE doc_id NOT IN (SELECT doc_id FROM rk WHERE qid = 1 AND rank <= 3) ORDER BY doc_id LIMIT 10")

@@ -62,7 +62,7 @@ def _(spark, d):
 @query("i7_policy_order", "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN toxic = 0 THEN 0 ELSE 1 END, quality DESC, doc_id % 6, doc_id % 8, doc_id)::INT AS place FROM labels")
 def _(spark, d):
     policy = F.when(F.col("toxic") == 0, 0).otherwise(1)
-    return ranked(table(spark, d, "labels"), policy, F.col("quality").desc(), F.col("doc_id") % 6, F.col("doc_id") % 8, F.col("doc_id")).select("doc_id", "place")
+    return ranked(table(spark, d, "labels").select("doc_id", "toxic", "quality"), policy, F.col("quality").desc(), F.col("doc_id") % 6, F.col("doc_id") % 8, F.col("doc_id")).select("doc_id", "place")
 
 
 @query("i8_duplicates", """WITH k AS (SELECT doc_id, lang, regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') AS summary, regexp_extract_all(text, '[0-9a-f]{40}|[a-z0-9.]+@[a-z0-9.]+') AS refs FROM documents),
@@ -104,4 +104,7 @@ def _(spark, d):
     return minted(orders, key="o_orderkey", day="o_orderdate")
 
 
-portable("i15_decoded_order", "SELECT doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY [[n]], doc_id) AS place FROM {documents}", n="CAST(substr(source, 4) AS BIGINT) ~~ CAST(substr(source, 4) AS BIGINT)")
+@query("i15_decoded_order", "SELECT doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY CAST(substr(source, 4) AS BIGINT), doc_id) AS place FROM documents")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
+    return ranked(docs, F.substring("source", 4, 1 << 30).cast("bigint"), F.col("doc_id"), within=("lang",)).drop("lang")

@@ -36,6 +36,13 @@ def test_places_and_pages(spark):
     got = {(r.g, r.id): r.place for r in L.ranked(df, F.col("g"), F.col("id")).collect()}
     assert [got[x] for x in want] == list(range(1, 1001))
     assert L.ranked(df.where("false"), F.col("g")).count() == 0
+    assert L.ranked(df.where("false"), F.col("id"), within=("g",)).count() == 0
+    hot = df.select(F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") < 400, F.lit("")).otherwise(F.lit("hot")).alias("g"), "id")
+    want, seen = set(), {}
+    for r in sorted(hot.collect(), key=lambda r: -r.id):
+        seen[r.g] = seen.get(r.g, 0) + 1
+        want.add((r.g, r.id, seen[r.g]))
+    assert {(r.g, r.id, r.place) for r in L.ranked(hot, F.col("id").desc(), within=("g",)).collect()} == want
     assert [tuple(r) for r in L.page(df, F.col("id").desc(), columns=["id"], size=2).collect()] == [(999, 1000, True), (998, 1000, True)]
 
 
