@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import blocks, small_batches, word_spans
+from marlstone.llm.common import BASE, blocks, mix, small_batches, word_spans
 
 #: Letters of either case and every byte of a non-ASCII character; the rest separates.
 LETTERS = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -26,51 +27,101 @@ def lowered(text: bytes | None) -> bytes:
     return text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
 
 
-def _spread(texts: list[bytes], pieces=None) -> dict[bytes, set[int]]:
-    """How many texts bring each word in a context (the word before) not seen in an earlier text.
+@dataclass
+class Spread:
+    """Distinct words of texts: where each stands in ``buffer`` (a space on either side), how often it occurs, and (word, text) pairs."""
+
+    buffer: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    counts: np.ndarray
+    words: np.ndarray
+    texts: np.ndarray
+    n_texts: int
+
+    def pieces(self, k: int, wanted: np.ndarray | None = None, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """All (wanted) pieces of k bytes as numbers, in words with their spaces, and the word of each."""
+        n = np.maximum(0, self.ends - self.starts + 3 - k)
+        values, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        cuts = np.append(np.flatnonzero(np.diff(np.cumsum(n) // most, prepend=-1)), len(n))
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            at, run = _runs(self.starts[first:last] - 1, n[first:last])
+            value = np.full(len(at), k, np.uint64)
+            for j in range(k):
+                value = value << np.uint64(8) | self.buffer[at + j]
+            if wanted is not None:
+                on = np.isin(value, wanted)
+                value, run = value[on], run[on]
+            values.append(value)
+            words.append(run + first)
+        return np.concatenate(values), np.concatenate(words)
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """start, start + 1, ... of each run, and the run's number."""
+    run = np.repeat(np.arange(len(lengths)), lengths)
+    return np.arange(len(run)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[run], run
+
+
+def _spread(texts: list[bytes]) -> Spread:
+    """Words, paired with the texts that bring each in a context (the word before) not seen in an earlier text.
 
     So copies of a text, and a text that repeats itself, count once. The texts
     of a word are returned, as pieces of words are to be counted by text too.
-    With ``pieces`` only words that hold one of them are kept.
+    Arrays of numbers keep this small: about 60 bytes for each word of the texts.
     """
-    wanted: dict[bytes, bool] = {}
-    seen: set[int] = set()
-    out: dict[bytes, set[int]] = {}
-    for i, text in enumerate(texts):
-        words = text.translate(LETTERS).split()
-        for context in set(zip([b"", *words], words, strict=False)):
-            if pieces is not None:
-                word = context[1]
-                if word not in wanted:
-                    wanted[word] = not pieces.isdisjoint(_pieces(word))
-                if not wanted[word]:
-                    continue
-            # A number in place of the two words keeps what is seen small.
-            if (number := hash(context)) not in seen:
-                seen.add(number)
-                out.setdefault(context[1], set()).add(i)
-    return out
-
-
-def _by_piece(words: dict[bytes, set[int]], wanted=None, least: int = 1) -> dict[bytes, int]:
-    """In how many texts each piece is, for pieces in at least so many (and wanted)."""
-    bound: Counter = Counter()
-    for word, own in words.items():
-        for piece in _pieces(word):
-            if wanted is None or piece in wanted:
-                bound[piece] += len(own)
-    kept = {p for p, n in bound.items() if n >= least}
-    bound.clear()
-    out: dict[bytes, set[int]] = {}
-    for word, own in words.items():
-        for piece in kept.intersection(_pieces(word)):
-            out.setdefault(piece, set()).update(own)
-    return {p: len(x) for p, x in out.items() if len(x) >= least}
-
-
-def _pieces(word: bytes) -> set[bytes]:
-    framed = b" " + word + b" "
-    return {framed[i : i + k] for k in (5, 6, 7) for i in range(len(framed) - k + 1)}
+    hashes, starts, lengths, n_words, base = [], [], [], [], 1
+    for first, last in blocks(texts):
+        h, s, e, n = word_spans(texts[first:last], LETTERS)
+        hashes.append(h)
+        starts.append(s + base)
+        lengths.append((e - s).astype(np.int32))
+        n_words.append(n)
+        base += sum(len(t) + 1 for t in texts[first:last])
+    join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
+    own, n_words = join(hashes, np.uint64), join(n_words, np.int64)
+    before = np.zeros_like(own)
+    before[1:] = own[:-1]
+    firsts = np.cumsum(n_words) - n_words
+    before[firsts[n_words > 0]] = 0
+    before *= np.uint64(BASE)
+    before += own
+    new = np.unique(mix(before), return_index=True)[1]
+    del before
+    _, one, which, counts = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+    text = np.searchsorted(np.cumsum(n_words), new, side="right")
+    pairs = np.unique(which[new] * max(1, len(texts)) + text)
+    buffer = np.frombuffer((b" " + b" ".join(texts) + b" ").translate(LETTERS), np.uint8)
+    start = join(starts, np.int64)[one]
+    words, text = np.divmod(pairs, max(1, len(texts)))
+    return Spread(buffer, start, start + join(lengths, np.int32)[one], counts, words, text, len(texts))
+
+
+def _by_piece(spread: Spread, wanted: np.ndarray | None = None, least: int = 1, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """In how many texts each piece is, for pieces in at least so many (and wanted); about ``most`` pairs at once are held."""
+    own = np.bincount(spread.words, minlength=len(spread.starts))
+    until = np.cumsum(own)
+    kept, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for k in (5, 6, 7):
+        piece, word = spread.pieces(k, wanted)
+        # No piece is in more texts than its words have together.
+        names, which = np.unique(piece, return_inverse=True)
+        on = (np.bincount(which, own[word], len(names)) >= least)[which]
+        which, word = which[on], word[on]
+        order = np.argsort(which, kind="stable")
+        which, word = which[order], word[order]
+        number = np.zeros(len(names), np.int64)
+        part = np.cumsum(own[word]) // most
+        cuts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
+        # A part begins where a piece begins.
+        cuts = np.unique(np.append(np.searchsorted(which, which[cuts]), len(which))) if len(part) else [0]
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            at, run = _runs((until - own)[word[first:last]], own[word[first:last]])
+            met = np.unique(which[first:last][run] * max(1, spread.n_texts) + spread.texts[at]) // max(1, spread.n_texts)
+            number += np.bincount(met, minlength=len(names))
+        kept.append(names[number >= least])
+        numbers.append(number[number >= least])
+    return np.concatenate(kept), np.concatenate(numbers)
 
 
 def _told_apart(word: bytes, told: set[bytes]) -> list[bytes]:
@@ -98,18 +149,23 @@ def fit(toxic: list[bytes], ordinary: list[bytes], *, least: int = 4, ratio: flo
     texts bring in contexts of their own, ``ratio`` times the share of ordinary
     texts that do. The ordinary dictionary gets the most frequent ordinary words.
     """
-    bad = _spread(toxic)
-    often = _by_piece(bad, least=least)
-    beside = _by_piece(_spread(ordinary, often.keys()), often)
-    told = {p for p, n in often.items() if n / max(1, len(toxic)) >= ratio * (beside.get(p, 0) + 0.5) / max(1, len(ordinary))}
+    bad, good = _spread(toxic), _spread(ordinary)
+    often, n = _by_piece(bad, least=least)
+    named, number = _by_piece(good, often)
+    beside = np.zeros(len(often))
+    beside[np.searchsorted(often, named)] = number
+    told = often[n / max(1, len(toxic)) >= ratio * (beside + 0.5) / max(1, len(ordinary))]
+    holders = np.unique(np.concatenate([bad.pieces(k, told)[1] for k in (5, 6, 7)]))
+    told = {int(p).to_bytes(8, "big").lstrip(b"\0")[1:] for p in told}
+    own = np.bincount(bad.words, minlength=len(bad.starts))
     stretches: Counter = Counter()
-    for word, own in bad.items():
-        for stretch in _told_apart(word, told):
-            stretches[stretch] += len(own)
+    for i in holders.tolist():
+        for stretch in _told_apart(bad.buffer[bad.starts[i] : bad.ends[i]].tobytes(), told):
+            stretches[stretch] += int(own[i])
     order = lambda c: [x for x, _ in sorted(c.items(), key=lambda y: (y[1], y[0]))]
-    common = Counter()
-    for text in ordinary:
-        common.update(text.translate(LETTERS).split())
+    # All words as frequent as the last one that counts; of equal ones those that sort first stay.
+    level = np.partition(good.counts, -words)[-words] if len(good.counts) > words else 0
+    common = {good.buffer[good.starts[i] : good.ends[i]].tobytes(): int(good.counts[i]) for i in np.flatnonzero(good.counts >= level).tolist()}
     kept = dict(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:words])
     return b"".join(order(stretches))[-size:], (b" " + b" ".join(order(kept)) + b" ")[-4 * size :]
 

@@ -4,7 +4,7 @@ import zlib
 
 import zstandard
 
-from marlstone.llm.toxicity import LEVEL, calibrated, fit, measured, score_toxicity
+from marlstone.llm.toxicity import LEVEL, _by_piece, _spread, calibrated, fit, measured, score_toxicity
 
 
 def sample(n=900):
@@ -65,3 +65,23 @@ def test_repeated_ids_and_sample_bounds(spark, docs):
     got = score_toxicity(table, labels, toxic_rows=20, ordinary_rows=40, sample_bytes=4000).collect()
     assert len(got) == 233 and sum(r.doc_id is None for r in got) == 3
     assert not any(r.held_out for r in got if r.doc_id is None)
+
+
+def test_pieces_are_counted_by_text():
+    """Texts of each piece against plain sets: copies and repeats of a word in the same context count once."""
+    texts = [t.lower().encode() for _, t, _ in sample(40)]
+    texts += texts[:7] + [b"", b"x", b"the the the", "Straße état".lower().encode(), b"1 2", b"ab" * 3000]
+    seen, expected = set(), {}
+    for i, text in enumerate(texts):
+        words = re.findall(b"[a-z\x80-\xff]+", text)
+        for before, word in set(zip([b"", *words], words)) - seen:
+            seen.add((before, word))
+            framed = b" " + word + b" "
+            for piece in {framed[j : j + k] for k in (5, 6, 7) for j in range(len(framed) - k + 1)}:
+                expected.setdefault(piece, set()).add(i)
+    expected = {p: len(x) for p, x in expected.items()}
+    number = lambda p: len(p) << 8 * len(p) | int.from_bytes(p, "big")
+    for least, most in ((1, 1 << 21), (3, 5)):
+        names, n = _by_piece(_spread(texts), least=least, most=most)
+        assert dict(zip(names.tolist(), n.tolist())) == {number(p): x for p, x in expected.items() if x >= least}
+    assert not len(_by_piece(_spread([]))[0]) and not len(_by_piece(_spread([b""]))[0])
