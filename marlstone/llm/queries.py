@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import read
 from marlstone.llm.decontaminate import contaminated_spans
+from marlstone.llm.filter_audit import audit_corpus
 from marlstone.llm.html_extract import extract_text
 from marlstone.llm.license_scan import scan_licenses
 from marlstone.llm.near_dedup import near_duplicates
@@ -73,6 +74,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_corpus(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z became a-z.
 FOLDED = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -118,6 +123,30 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id):
 SELECT query_id, rank, id, distance FROM r WHERE rank <= 10
 """
 
+OP11_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+m AS (SELECT t, min(doc_id) AS first_id FROM w GROUP BY t),
+y AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, (len(l) < 200)::INT AS A, (100 * len(list_distinct(l)) < 50 * len(l))::INT AS B,
+             (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT AS C, regexp_matches(t, '[#$%&*|]')::INT AS D,
+             coalesce(doc_id > first_id, false)::INT AS E, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM w JOIN m USING (t) LEFT JOIN y USING (doc_id)),
+g AS (SELECT part, [A, B, C, D, E] AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, fails),
+f AS (SELECT unnest([1, 2, 3, 4, 5]) AS f),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, unnest([1, 2, 3, 4, 5]) AS step, o FROM o),
+x AS (SELECT part, filter_order, step, o[step] AS own, n, good, toxic, fails[o[step]] = 1 AS fail, list_sum(fails) = 1 AND fails[o[step]] = 1 AS sole,
+             len(list_filter(o[:step - 1], lambda i: fails[i] = 1)) > 0 AS gone FROM g, s),
+r AS (SELECT part, filter_order, step, any_value(own) AS own,
+             coalesce(sum(n) FILTER (NOT gone AND NOT fail), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fail), 0) AS removed,
+             coalesce(sum(n) FILTER (gone AND fail), 0) AS redundant, coalesce(sum(n) FILTER (sole), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (NOT gone AND fail), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fail), 0) AS toxic_lost
+      FROM x GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
 
 def queries() -> dict:
     return {
@@ -131,8 +160,9 @@ def queries() -> dict:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_html_extraction": op9_html_extraction,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op8_exact_top_k": OP8_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op8_exact_top_k": OP8_SQL, "op11_filter_audit": OP11_SQL}
