@@ -11,6 +11,7 @@ from marlstone.llm.filter_audit import audit_corpus
 from marlstone.llm.html_extract import extract_text
 from marlstone.llm.license_scan import scan_licenses
 from marlstone.llm.near_dedup import near_duplicates
+from marlstone.llm.order_minhash import fingerprint_edits
 from marlstone.llm.packing import packed_pieces, tokenizer_path
 from marlstone.llm.substring_dedup import substring_dedup
 from marlstone.llm.token_output import packed_sequences
@@ -78,6 +79,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_corpus(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z became a-z.
 FOLDED = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -161,6 +166,7 @@ def queries() -> dict:
         "op9_html_extraction": op9_html_extraction,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
         "op11_filter_audit": op11_filter_audit,
+        "op12_order_minhash": op12_order_minhash,
     }
 
 
