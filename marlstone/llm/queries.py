@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import read
 from marlstone.llm.decontaminate import contaminated_spans
 from marlstone.llm.filter_audit import audit_corpus
+from marlstone.llm.hard_negatives import hard_negatives, scaled
 from marlstone.llm.html_extract import extract_text
 from marlstone.llm.license_scan import scan_licenses
 from marlstone.llm.near_dedup import near_duplicates
@@ -83,6 +84,11 @@ def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(scaled(vectors))
+
+
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z became a-z.
 FOLDED = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -152,6 +158,17 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
 FROM r
 """
 
+OP13_SQL = """
+WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, x.vec_id AS id, a.label = x.label AS same, list_inner_product(a.v, x.v)::BIGINT AS score
+      FROM v a, v x WHERE a.vec_id % 50 = 0 AND a.vec_id <> x.vec_id AND len(a.v) = len(x.v)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 
 def queries() -> dict:
     return {
@@ -167,8 +184,9 @@ def queries() -> dict:
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
         "op11_filter_audit": op11_filter_audit,
         "op12_order_minhash": op12_order_minhash,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op8_exact_top_k": OP8_SQL, "op11_filter_audit": OP11_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op8_exact_top_k": OP8_SQL, "op11_filter_audit": OP11_SQL, "op13_hard_negatives": OP13_SQL}
