@@ -86,7 +86,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / max(1, int(a[1].sum()) + int(b[1].sum()) - common)
 
 
-SIGNED = "doc_id bigint, bag binary, bands array<bigint>"
+SIGNED = "doc_id bigint, hash bigint, bag binary, bands array<bigint>"
 
 
 def bag_key(bag: tuple[np.ndarray, np.ndarray]) -> bytes | None:
@@ -107,8 +107,8 @@ def _signed(shingle: int):
                 hashed = mix(hashed * np.uint64(0xD1342543DE82EF95) + banded[:, :, j] + np.uint64(j + 1))
             keys = [bag_key(b) for b in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(hashed.view(np.int64).tolist(), pa.list_(pa.int64()))],
-                names=["doc_id", "bag", "bands"],
+                [pa.array(ids, pa.int64()), batch.column(2), pa.array(keys, pa.binary()), pa.array(hashed.view(np.int64).tolist(), pa.list_(pa.int64()))],
+                names=["doc_id", "hash", "bag", "bands"],
             )
 
     return run
@@ -118,7 +118,7 @@ def _content(shingle: int):
     def run(batches):
         for batch in batches:
             found = bags(batch.column(1).to_pylist(), shingle)
-            # Rows of one doc_id with other texts are met here too; they have another bag.
+            # Rows of one doc_id whose other texts have an equal hash would be met here too; they have another bag.
             own = [(key, b) for key, b in zip(batch.column(0).to_pylist(), found, strict=True) if bag_key(b) == key]
             data = [k.tobytes() + c.astype("<u4").tobytes() for _, (k, c) in own]
             yield pa.RecordBatch.from_arrays([pa.array([key for key, _ in own], pa.binary()), pa.array(data, pa.binary())], names=["bag", "content"])
@@ -210,6 +210,12 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("bag"), F.col("b").alias("root"))
 
 
+def text_rows(source: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The texts of chosen rows (bag, doc_id, hash): bag, text."""
+    same = (source["hash"] == chosen["hash"]) & source["doc_id"].eqNullSafe(chosen["doc_id"])
+    return source.join(chosen, same).select("bag", "text")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, few_rows: int = 8, block_rows: int = 512) -> DataFrame:
     """Class of near-duplicates of each document.
 
@@ -235,7 +241,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     the class has no other.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("hash"))
     signed = checkpointed(source.mapInArrow(_signed(shingle), SIGNED))
     vertices = signed.where("bag is not null").groupBy("bag").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("n"), F.any_value("bands").alias("bands")
@@ -248,8 +254,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     )
     pairs = members.select(F.col("hub").alias("a"), F.col("bag").alias("b")).distinct()
     wanted = pairs.select(F.col("a").alias("bag")).unionByName(pairs.select(F.col("b").alias("bag"))).distinct()
-    chosen = signed.join(wanted, "bag", "left_semi").groupBy("bag").agg(F.min("doc_id").alias("doc_id"))
-    texts = source.join(chosen, source["doc_id"].eqNullSafe(chosen["doc_id"])).select("bag", "text")
+    # A row is told by its doc_id and its text's hash, so that each wanted bag meets one text (or its equal rows), whatever the ids are.
+    chosen = signed.join(wanted, "bag", "left_semi").groupBy("bag").agg(F.min(F.struct("doc_id", "hash")).alias("own")).select("bag", "own.doc_id", "own.hash")
+    texts = text_rows(source, chosen)
     contents = checkpointed(
         texts.mapInArrow(_content(shingle), "bag binary, content binary").groupBy("bag").agg(F.any_value("content").alias("content"))
     )

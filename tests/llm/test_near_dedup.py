@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
+from marlstone.llm import near_dedup
 from marlstone.llm.near_dedup import BANDS, ROWS, bags, components, near_duplicates, overlap, signatures
 
 
@@ -82,3 +84,23 @@ def test_components(spark):
     pairs = [(b"a", b"b"), (b"c", b"b"), (b"d", b"c"), (b"x", b"y"), (b"d", b"d")]
     got = {bytes(r.bag): bytes(r.root) for r in components(spark.createDataFrame(pairs, "a binary, b binary")).collect()}
     assert got == {b"b": b"a", b"c": b"a", b"d": b"a", b"y": b"x"}
+
+
+@pytest.mark.parametrize("one_id", [None, 5])
+def test_rows_of_one_id_bring_each_text_once(spark, monkeypatch, one_id):
+    """Near copies in 2,000 rows of one doc_id, or without one: as many texts are read again as there are rows, not their square."""
+    words = [[f"w{i}_{k}" for k in range(30)] for i in range(1000)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w, "end"]) for w in words]
+    read = []
+
+    def counted(source, chosen):
+        out = spark.createDataFrame(original(source, chosen).collect(), "bag binary, text binary")
+        read.append(out.count())
+        return out
+
+    original = near_dedup.text_rows
+    monkeypatch.setattr(near_dedup, "text_rows", counted)
+    table = spark.createDataFrame([(one_id, t) for t in texts], "doc_id bigint, text string").repartition(3)
+    got = near_duplicates(table).groupBy("class_size").count().collect()
+    assert read and read[0] <= 2000
+    assert {r.class_size: r["count"] for r in got} == {2: 2000}
