@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import small_batches
 
-#: Elements whose content is never text of the page (fixed values).
-HIDDEN = "script style noscript template svg iframe object canvas textarea title head audio video".split()
+#: Elements whose content is never text of the page (fixed values): those whose content is not markup, and those that hold elements.
+RAW = "script style iframe noscript textarea title head".split()
+HIDDEN = "template svg object canvas audio video".split()
 #: Elements beside the article (fixed values).
 BESIDE = "nav header footer aside form menu dialog button select".split()
 #: Elements that start and end a block (fixed values).
@@ -39,13 +40,13 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)",
     re.S,
 )
-_RAW = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for n in HIDDEN}
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for n in RAW}
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/]|$)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
 def _beside(name: str, rest: str, inside: bool) -> bool:
-    if name in BESIDE:
+    if name in BESIDE or name in HIDDEN or name in RAW:
         return True
     if not rest or name in ("html", "body", "article", "main"):
         return False
@@ -130,11 +131,14 @@ def lines_of(page: str) -> list[Line]:
         if name in BLOCK:
             flush()
         if name in _RAW:
-            closed = _RAW[name].search(page, at)
-            # A head or title that is never closed must not swallow the page.
-            if closed or name not in ("head", "title"):
-                at = closed.end() if closed else len(page)
-            continue
+            if closed := _RAW[name].search(page, at):
+                at = closed.end()
+                continue
+            if name in ("script", "style"):
+                break
+            # What is never closed must not swallow the page: a head or title is no element then, others end with the element around them.
+            if name in ("head", "title"):
+                continue
         if name in VOID or m["rest"].endswith("/") and name not in BLOCK:
             continue
         if name == "a" and links:

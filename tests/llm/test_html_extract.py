@@ -87,3 +87,14 @@ def test_line_blocks_by_brute_force():
         texts = [(f"{i:02d}" + "x" * n)[:n] for i, (n, _) in enumerate(lines)]
         page = "".join(f"<p><a href=x>{t}</a></p>" if linked else f"<p>{t}</p>" for t, (_, linked) in zip(texts, lines, strict=True))
         assert main_text(page).split("\n") == ([texts[i] for i in sorted(line_blocks(lines))] or [""])
+
+
+def test_hidden_elements_end():
+    end = f"<p>{LONG}END</p>"
+    for hidden in ("<svg class='i'/>", "<svg class=i/>", "<svg><path/></svg>", "<svg><svg/><title>t</title><g>no</g></svg>", "<video src=x/>", "<canvas><p>no</p></canvas>", "<object><object>no</object>no</object>"):
+        for behind in ("", "<svg>no</svg>", "</svg>"):
+            assert main_text(f"<article><h1>Head</h1><p>{LONG}</p>{hidden}{end}{behind}</article>") == f"Head\n{LONG.strip()}\n{LONG}END", (hidden, behind)
+    for name in "template svg object canvas audio video iframe noscript textarea".split():
+        # Unclosed: hidden to the end of the element around it.
+        assert main_text(f"<article><p>{LONG}<{name}>no</p>{end}</article>") == f"{LONG.strip()}\n{LONG}END", name
+    assert main_text(f"<article>{end}<script>var a") == f"{LONG}END"
