@@ -253,8 +253,7 @@ def _places(plan) -> dict[int, tuple[np.ndarray, ...]]:
 def _placed(places):
     def run(batches):
         for batch in batches:
-            length = batch.column("length").to_numpy()
-            rank = batch.column("rank").to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for n in np.unique(length):
                 at = np.flatnonzero(length == n)
@@ -263,9 +262,7 @@ def _placed(places):
                 own = rank[at] - ranks[k]
                 sequence[at] = first[k] + own // per_bin[k]
                 offset[at] = start[k] + own % per_bin[k] * n
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(sequence), pa.array(offset)], names=[*batch.schema.names, "sequence_id", "offset"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(sequence), pa.array(offset)], names=["own", "sequence_id", "offset"])
 
     return run
 
@@ -273,31 +270,35 @@ def _placed(places):
 def pack(pieces: DataFrame, *, size: int = 2048, planner=best_two_fit, rows_a_group: int = 50_000) -> DataFrame:
     """Give each piece a sequence and an offset in it.
 
-    ``pieces`` has a length from 1 to ``size`` and whatever columns more. They
-    are ranked within their length; a length with many pieces is ranked in
-    groups of about ``rows_a_group`` by a hash, whose counts are summed first,
-    so no length is gathered in one task. All pieces of full length, a length
-    like any other, get a sequence each. An empty table stays empty.
+    ``pieces`` has a length from 1 to ``size`` and whatever columns more; its own
+    ``sequence_id`` and ``offset``, if any, are replaced. Every row gets a number,
+    once, with the checkpoint; rows are ranked within their length, in groups of about
+    ``rows_a_group`` by a hash of the number, whose counts are summed first, so
+    neither a length nor any number of equal rows is gathered in one task. All
+    pieces of full length, a length like any other, get a sequence each. An empty
+    table stays empty.
     """
-    groups = max(1, -(-pieces.count() // rows_a_group))
-    columns = pieces.columns
-    keyed = pieces.withColumn("own_group", F.pmod(F.xxhash64(*columns), F.lit(groups)).cast("int"))
-    counts = keyed.groupBy("length", "own_group").agg(F.count("*").alias("own_count"))
-    by_length = counts.groupBy("length").agg(F.sum("own_count").alias("n")).collect()
+    own = F.struct(*[c for c in pieces.columns if c not in ("sequence_id", "offset")])
+    numbered = checkpointed(pieces.select(own.alias("own"), F.col("length").alias("length"), F.monotonically_increasing_id().alias("row")))
+    groups = max(1, -(-numbered.count() // rows_a_group))
+    keyed = grouped(numbered, groups)
+    counts = keyed.groupBy("length", "group").agg(F.count("*").alias("n"))
+    by_length = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()
     every = np.zeros(size + 1, np.int64)
     for r in by_length:
         every[r["length"]] = r["n"]
     places = _places(planner(every))
-    before = F.sum("own_count").over(Window.partitionBy("length").orderBy("own_group").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("length", "own_group", F.coalesce(before, F.lit(0)).alias("own_before"))
-    own = F.row_number().over(Window.partitionBy("length", "own_group").orderBy(*columns))
-    ranked = (
-        keyed.withColumn("own_rank", own)
-        .join(offsets, ["length", "own_group"])
-        .select(*columns, (F.col("own_before") + F.col("own_rank") - 1).alias("rank"))
-    )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields)
-    return ranked.mapInArrow(_placed(places), f"{schema}, sequence_id bigint, offset bigint").drop("rank")
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("length", "group", F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("length", "group").orderBy("row"))
+    ranked = keyed.withColumn("rank", rank).join(offsets, ["length", "group"]).select("own", "length", (F.col("before") + F.col("rank") - 1).alias("rank"))
+    kind = ranked.schema["own"].dataType.simpleString()
+    return ranked.mapInArrow(_placed(places), f"own {kind}, sequence_id bigint, offset bigint").select("own.*", "sequence_id", "offset")
+
+
+def grouped(numbered: DataFrame, groups: int) -> DataFrame:
+    """Numbered rows with their group, by a hash of the number."""
+    return numbered.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
 
 
 def packed_pieces(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 0) -> DataFrame:
@@ -306,4 +307,4 @@ def packed_pieces(docs: DataFrame, path: str, *, size: int = 2048, end_id: int =
     Each document is tokenized once; the pieces (without ids) are checkpointed,
     as they are counted, ranked and placed. Repeated rows are packed each.
     """
-    return pack(checkpointed(token_pieces(docs, path, size=size, end_id=end_id)), size=size)
+    return pack(token_pieces(docs, path, size=size, end_id=end_id), size=size)

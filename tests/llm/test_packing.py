@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marlstone.llm.packing import best_two_fit, packed_pieces, token_pieces, tokenizer_path
+from marlstone.llm.packing import best_two_fit, grouped, pack, packed_pieces, token_pieces, tokenizer_path
 from marlstone.llm.token_output import best_fit_decreasing, matrix, packed_sequences
 
 
@@ -96,3 +96,24 @@ def test_matrices_give_the_ids_back(docs, tokenizer):
     for i, t in enumerate(TEXTS):
         assert [x for p in sorted(found[i]) for x in found[i][p]] == ids_of(tokenizer, t)
     assert packed_sequences(docs([]), tokenizer_path()).count() == 0
+
+
+def test_equal_rows_and_clashing_columns(spark):
+    """Any number of equal rows is dealt over all groups; columns of any name stay, but for the two results."""
+    names = "doc_id, length, rank, row, own, group, n, before, sequence_id, offset".split(", ")
+    rows = [(7, 5, *"abcdef", -1, -2)] * 20_000 + [(i, 1 + i % 16, *"ghijkl", None, None) for i in range(500)]
+    table = spark.createDataFrame(rows, ", ".join(f"`{n}` {'bigint' if n in ('doc_id', 'length', 'sequence_id', 'offset') else 'string'}" for n in names)).repartition(3)
+    got = pack(table, size=16, rows_a_group=1000)
+    assert got.columns == names
+    places = [(r.sequence_id, r.offset, r.length) for r in got.collect()]
+    assert len(places) == len(rows) and len({p[:2] for p in places}) == len(places)
+    at = defaultdict(int)
+    for s, o, n in sorted(places):
+        assert o == at[s]
+        at[s] += n
+        assert at[s] <= 16
+    assert sorted(r[2:8] for r in got.collect()) == sorted(r[2:8] for r in rows)
+    from pyspark.sql import functions as F
+
+    largest = grouped(table.select("length", F.monotonically_increasing_id().alias("row")), 20).where("length = 5").groupBy("group").count().agg(F.max("count")).first()[0]
+    assert largest < 2 * 20_000 / 20
