@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -396,6 +396,11 @@ def _parsed(window: int, anchor: int):
     return run
 
 
+def part_of(parts: int) -> Column:
+    """Part of a row. Rows equal in doc_id and text are dealt too: those of one run of 256 rows of an input partition stay together."""
+    return F.pmod(F.xxhash64("doc_id", "text", F.shiftright(F.monotonically_increasing_id(), 8)), F.lit(parts)).cast("int")
+
+
 def substring_dedup(
     docs: DataFrame, *, window: int = 13, anchor: int = 5, part_bytes: int = 8 << 20, hot: int = 4096, rows: bool = False
 ) -> DataFrame:
@@ -409,7 +414,7 @@ def substring_dedup(
     is later than all others. A null text has no words and stays null; a text
     of fewer words than the window loses nothing. Copies keep their first one.
 
-    Texts are dealt once into parts of about ``part_bytes`` by doc_id and text, and only
+    Texts are dealt once into parts of about ``part_bytes`` by doc_id, text and place in the input, and only
     anchors and segments travel between parts: equal ones once for each part, so
     a passage that a third of all rows share costs one entry a part. An anchor
     with more than ``hot`` segments has its windows dealt one by one. Words travel
@@ -429,7 +434,7 @@ def substring_dedup(
     dealt = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("text").cast("binary").alias("text"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"),
+        part_of(parts).alias("part"),
         *[F.struct(*[c for c in docs.columns if c != "text"]).alias("row")] * rows,
     )
     result = StructType.fromDDL(RESULT)

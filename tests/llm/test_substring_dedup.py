@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from marlstone.llm.substring_dedup import longest_matches, parse, substring_dedup
+from marlstone.llm.substring_dedup import longest_matches, parse, part_of, substring_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -93,3 +93,23 @@ def test_longest_matches_and_parse():
             if at + i in begins:
                 covered.update(range(i, i + int(length[at + i])))
         assert covered == windows
+
+
+def test_equal_rows_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    table = spark.range(200_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("x").alias("text"))
+    sizes = [r["count"] for r in table.groupBy(part_of(64).alias("part")).count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 4 * 200_000 / 64
+
+
+def test_equal_rows_keep_their_results(docs):
+    rows = [(3, " ".join(f"w{i}" for i in range(40)))] * 700 + [(1, " ".join(f"w{i}" for i in range(10, 30))), (None, " ".join(f"w{i}" for i in range(5, 35)))] * 2
+    held(substring_dedup(docs([t for _, t in rows], [i for i, _ in rows]), part_bytes=2000), rows, 13)
+
+
+def test_texts_are_dealt_once(spark, sf001):
+    df = substring_dedup(spark.read.parquet(f"{sf001}/documents.parquet"))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Scan parquet") == 1 and plan.count("ReusedExchange") >= 2
