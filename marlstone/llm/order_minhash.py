@@ -153,7 +153,8 @@ def fingerprint_edits(docs: DataFrame, *, k: int = 2, least: int = 2) -> DataFra
     text = F.coalesce("text", F.lit(""))
     # Registers are made once, as an output of explode; a projection would be repeated for each use.
     made = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("hash"), F.length(text).cast("bigint").alias("n_chars"), text.alias("text"), F.explode(F.array(fingerprint(F.col("text"), k=k, least=least))).alias("registers"))
-    made.write.parquet(path)
+    # Texts stay here once more, so they are written small.
+    made.write.option("compression", "zstd").parquet(path)
     rows = spark.read.schema("row bigint, doc_id bigint, hash bigint, n_chars bigint, text string, registers array<bigint>").parquet(path)
     both = with_next(rows, ["text", "registers"], size=text_bytes(rows))
     half = F.floor(F.col("n_chars") / 2).cast("int")
