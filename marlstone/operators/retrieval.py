@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,41 +44,58 @@ def top_n(ranked: DataFrame, n: int, *, by: list[Column], within: str = "qid", r
     return ranked.withColumn(rank, F.row_number().over(Window.partitionBy(within).orderBy(*by)).cast("bigint")).where(F.col(rank) <= n)
 
 
-def vector_top_k(vectors: DataFrame, questions: DataFrame, k: int, *, key: str = "vec_id", block: int = 512) -> DataFrame:
-    """Exact cosine top k for blocks of questions: qid, key, score, rank; negative scores are dropped.
-
-    Questions are a stated set (qid, embedding), read in blocks that are shipped
-    to the tasks; each task multiplies its batches with a block and keeps k rows
-    a question, so what is shuffled is k rows a task and question.
+def _best_of_pair(k: int):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        qid, key, score = [], [], []
+        if len(left) and len(right):
+            q, x = (np.stack(side["embedding"].to_numpy()).astype(np.float64) for side in (left, right))
+            q, x = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (q, x))
+            own, names = right["key"].to_numpy(), left["qid"].to_numpy()
+            # Some questions at a time, so that scores stay small.
+            for first in range(0, len(q), 256):
+                for name, s in zip(names[first : first + 256], q[first : first + 256] @ x.T, strict=True):
+                    rounded = np.round(s, 9)
+                    at = np.flatnonzero((s >= 0) & (rounded >= (np.partition(rounded, -k)[-k] if len(s) > k else -1)))
+                    at = at[np.lexsort((own[at], -rounded[at]))[:k]]
+                    qid.append(np.repeat(name, len(at)))
+                    key.append(own[at])
+                    score.append(s[at])
+        join = lambda parts: np.concatenate(parts) if parts else []
+        return pd.DataFrame({"qid": join(qid), "key": join(key), "score": join(score)})
+
+    return run
+
+
+def block_pairs(questions: DataFrame, vectors: DataFrame, k: int, *, by: list[str], question_rows: int = 4096) -> DataFrame:
+    """The k best vectors of each question within each block that both name: qid, key, score (cosine, not negative).
+
+    ``questions`` has qid, embedding and the columns ``by``, ``vectors`` key,
+    embedding and these columns. A block's questions are cut into parts of about
+    ``question_rows``, to each of which its vectors go, so a task holds one part
+    and one block.
+    """
+    parts = max(1, -(-questions.count() // question_rows))
+    asked = questions.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
+    wanted = asked.select(*by, "part").distinct()
+    both = [*by, "part"]
+    # Aliases, as both sides may come from one table.
+    sent = vectors.join(wanted, by).select(*[F.col(c).alias(c) for c in (*both, "key", "embedding")])
+    kinds = f"qid {questions.schema['qid'].dataType.simpleString()}, key bigint, score double"
+    return asked.groupBy(*both).cogroup(sent.groupBy(*both)).applyInPandas(_best_of_pair(k), kinds)
+
+
+def vector_top_k(vectors: DataFrame, questions: DataFrame, k: int, *, key: str = "vec_id", block_rows: int = 1 << 15, question_rows: int = 4096) -> DataFrame:
+    """Exact cosine top k of each question (qid, embedding): qid, key, score, rank; negative scores are dropped.
+
+    Vectors are dealt into blocks of about ``block_rows`` by a hash of their key and
+    each part of about ``question_rows`` questions meets each block once; a pair
+    gives k rows a question. Neither questions nor vectors reach the driver.
     """
-    asked = questions.select("qid", "embedding")
-    rows = asked.orderBy("qid").collect()
-    out = None
-    for first in range(0, max(1, len(rows)), block):
-        some = rows[first : first + block]
-        if not some:
-            break
-        ids = np.array([r["qid"] for r in some])
-        q = np.array([r["embedding"] for r in some], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def best(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = q @ x.T
-                own = pdf[key].to_numpy()
-                for i in range(len(ids)):
-                    order = np.lexsort((own, -np.round(s[i], 9)))[:k]
-                    yield pd.DataFrame({"qid": ids[i], key: own[order], "score": s[i][order]})
-
-        kind = questions.schema["qid"].dataType.simpleString()
-        part = vectors.select(key, "embedding").mapInPandas(best, f"qid {kind}, {key} bigint, score double")
-        out = part if out is None else out.unionByName(part)
-    kept = out.where("score >= 0")
-    return top_n(kept, k, by=[F.round("score", 9).desc(), F.col(key)])
+    blocks = max(1, -(-vectors.count() // block_rows))
+    rows = vectors.where(F.col("embedding").isNotNull()).select(F.col(key).cast("bigint").alias("key"), "embedding", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    asked = questions.where(F.col("embedding").isNotNull()).select("qid", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    found = block_pairs(asked, rows, k, by=["block"], question_rows=question_rows)
+    return top_n(found.withColumnRenamed("key", key), k, by=[F.round("score", 9).desc(), F.col(key)])
 
 
 def fuse(lists: list[tuple[DataFrame, float]], *, key: str = "doc_id", k: int = 60) -> DataFrame:

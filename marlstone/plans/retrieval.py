@@ -8,7 +8,9 @@ from marlstone.functions.text import tokens
 from marlstone.functions.vectors import dot
 from marlstone.operators import lookup as L
 from marlstone.operators import retrieval as R
+from marlstone.operators.vector_index import build_index, search_index
 from marlstone.registry import portable, query, table
+from marlstone.sources.artifacts import scratch
 
 QUESTIONS = [(1, "the general public license"), (2, "where is the thing defined in that"), (3, "how to install nicht und der")]
 QUESTION_SQL = "(VALUES (1, 'the general public license'), (2, 'where is the thing defined in that'), (3, 'how to install nicht und der')) AS q(qid, text)"
@@ -75,6 +77,15 @@ def _(spark, d):
     return nearest(spark, d).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("f2_ann_top_k")
+def _(spark, d):
+    """The same from an inverted file; tests measure its recall against the exact rows."""
+    v = table(spark, d, "embeddings")
+    path = scratch(spark, "vector-index")
+    build_index(v, path)
+    return search_index(spark, path, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"), 20).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 LENGTH_SQL = "ln_ AS (SELECT q.qid, doc_id, row_number() OVER (PARTITION BY q.qid ORDER BY n_chars DESC, doc_id) AS rank FROM documents, (SELECT DISTINCT qid FROM qt) q WHERE contains(text, 'the'))"
 
 
