@@ -58,11 +58,13 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     narrow.write.parquet(f"{folder}/flags")
     rows = spark.read.schema(narrow.schema).parquet(f"{folder}/flags")
     copies = rows.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("hash", "first_id")
-    copies.write.parquet(f"{folder}/copies")
+    # Few files, about one for a million rows.
+    files = max(8, rows.count() >> 20)
+    copies.coalesce(files).write.parquet(f"{folder}/copies")
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic")
     )
-    known.write.parquet(f"{folder}/labels")
+    known.coalesce(files).write.parquet(f"{folder}/labels")
     copies = spark.read.schema("hash binary, first_id bigint").parquet(f"{folder}/copies")
     known = spark.read.schema("doc_id bigint, good boolean, toxic boolean").parquet(f"{folder}/labels")
     told = rows.join(copies, "hash", "left").join(known, "doc_id", "left")
@@ -199,6 +201,6 @@ def audit_corpus(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fails E. Rows of one doc_id are rows of their own; equal ids are not smaller.
     Several labels of one doc_id: one that is 1 is enough.
     """
-    rows, folder = flagged(docs, labels), checkpoint_folder(docs.sparkSession)
-    bitmap_index(rows, filters=list(LETTERS), labels=["good", "toxic"]).write.parquet(f"{folder}/index")
-    return audit(docs.sparkSession.read.schema(INDEX).parquet(f"{folder}/index"), filters=list(LETTERS), labels=["good", "toxic"])
+    names = {"filters": list(LETTERS), "labels": ["good", "toxic"]}
+    # The index is read once here, so it is not kept.
+    return audit(bitmap_index(flagged(docs, labels), **names), **names)
