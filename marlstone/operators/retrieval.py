@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import tokens
+from marlstone.operators.graph import checkpointed
 
 #: A broadcast side may have so many rows; beyond that a shuffled plan is used.
 MOST_BROADCAST_ROWS = 50_000
@@ -21,19 +22,23 @@ def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
 def bm25(docs: DataFrame, questions: DataFrame, *, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 score of every document that holds a word of a question: qid, key, score.
 
-    ``questions`` has qid and text. Only tokens that some question asks for leave
-    the scan, so postings are pruned before the one shuffle; document lengths and
-    term frequencies come from the row itself.
+    ``questions`` has qid and text, ``key`` is different in each row. Texts are
+    tokenised once; only lengths and the tokens that some question asks for leave
+    the scan, combined before the one shuffle, and the statistics are taken from
+    that small written table.
     """
     asked = questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    words = docs.select(F.col(key), tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = small(asked.select("term").distinct())
-    hits = words.select(key, "dl", F.explode("words").alias("term")).join(terms, "term", "left_semi")
-    postings = hits.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    # One scan: of each text its length and what it holds of the asked terms stays, as a written table.
+    words = docs.select(F.col(key), F.explode(F.array(tokens(F.col("text")))).alias("words")).select(key, F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
+    hits = words.join(terms.withColumn("asked", F.lit(True)), "term", "left").select(key, "dl", F.when(F.col("asked"), F.col("term")).alias("term"))
+    counted = checkpointed(hits.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")))
+    # Each text once: it has a row without a term, or rows of asked terms only.
+    texts = counted.groupBy(key, "dl").agg(F.count("*")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = counted.where("term is not null")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = postings.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    weighed = postings.join(small(df), "term").crossJoin(F.broadcast(texts))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = weighed.select(key, "term", part.alias("part"))
     return scored.join(small(asked), "term").groupBy("qid", key).agg(F.sum("part").alias("score"))

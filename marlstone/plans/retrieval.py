@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import tokens
 from marlstone.functions.vectors import dot
 from marlstone.operators import lookup as L
+from marlstone.operators import postings as P
 from marlstone.operators import retrieval as R
 from marlstone.operators.vector_index import build_index, search_index
 from marlstone.registry import portable, query, table
@@ -51,6 +52,26 @@ def _(spark, d):
     return ranked(spark, d).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("f4_bm25_index", f"WITH {BM25_SQL} SELECT qid, doc_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 20")
+def _(spark, d):
+    """The same from persisted postings of two segments."""
+    return P.search(spark, postings_index(spark, d), questions(spark), 20).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def postings_index(spark, d):
+    path, docs = scratch(spark, "postings"), table(spark, d, "documents")
+    P.add_segment(docs.where("lang = 'en'"), path)
+    P.add_segment(docs.where("lang is null or lang != 'en'"), path)
+    return path
+
+
+@query("a6_postings_index", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) GROUP BY doc_id, term) GROUP BY term")
+def _(spark, d):
+    path = postings_index(spark, d)
+    P.merge_segments(spark, path)
+    return P.term_totals(spark, path)
+
+
 VECTORS_SQL = """
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
 c AS (SELECT a.vec_id AS qid, b.vec_id, b.label, a.label AS own, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS score
