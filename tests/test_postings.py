@@ -69,6 +69,7 @@ def test_segments_and_merge(spark, docs, table, tmp_path):
 
 
 def test_only_the_terms_buckets_of_live_segments_are_read(spark, table, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     path = str(tmp_path / "index")
     first = P.add_segment(table.where("doc_id < 1000"), path)
     second = P.add_segment(table.where("doc_id >= 1000"), path)
@@ -82,6 +83,7 @@ def test_only_the_terms_buckets_of_live_segments_are_read(spark, table, tmp_path
     merged = P.merge_segments(spark, path)
     filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan())[1]
     assert merged in filters and first not in filters and second not in filters
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
 def test_bounds_skip_ranges(spark, table, tmp_path, monkeypatch):
