@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import bindings as B
 from marlstone.operators import graph as G
+from marlstone.operators.communities import cluster
 from marlstone.registry import portable, query, table
 
 EDGES_SQL = """edges AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, 'calls' AS relation, CASE WHEN max(l_returnflag = 'A') THEN 'RESOLVED' ELSE 'EXTRACTED' END AS confidence FROM lineitem GROUP BY 1, 2
@@ -177,6 +178,12 @@ def _(spark, d):
     return G.label_propagation(G.weighted_pairs(edges(spark, d)))
 
 
+@query("g17_modularity")
+def _(spark, d):
+    """Communities of the whole edge list, calls, orders and customers with it."""
+    return cluster(G.weighted_pairs(whole_edges(spark, d)))
+
+
 portable(
     "g18_post_processing",
     """WITH c AS (SELECT l_suppkey % 30 AS community, l_partkey % 500 AS node FROM {lineitem} GROUP BY l_suppkey % 30, l_partkey % 500),
