@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,80 +116,130 @@ def label_propagation(pairs: DataFrame, *, rounds: int = 24) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("label").alias("community"))
 
 
-def _adjacency(pdf: pd.DataFrame) -> dict:
-    near = defaultdict(set)
-    for a, b in zip(pdf["a"], pdf["b"], strict=True):
-        near[a].add(b)
-        near[b].add(a)
-    return near
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Each pair (a, b) of different nodes once in either direction."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return checkpointed(both.where("a != b").distinct())
+
 
+def betweenness(
+    pairs: DataFrame, *, exact_nodes: int = 25_000, cutoff_nodes: int = 100_000, cutoff: int = 6, rows_a_batch: int = 50_000_000, most_edges: int | None = None
+) -> DataFrame:
+    """Betweenness of the nodes of an undirected graph of pairs (a, b): node, score, mode.
 
-def betweenness(pairs: DataFrame, *, most_edges: int = 100_000) -> DataFrame:
-    """Exact betweenness of graphs of at most ``most_edges`` (checked); beyond, the degree stands for it."""
+    Up to ``exact_nodes`` nodes it is exact, up to ``cutoff_nodes`` paths of at most
+    ``cutoff`` edges count, beyond that the degree stands for it (also beyond
+    ``most_edges`` pairs, if given). Sources are taken in batches of about
+    ``rows_a_batch`` pairs of source and edge. All sources of a batch walk a level a
+    job, with their numbers of shortest paths; then what each node hands on is
+    summed back, level by level. Every step is a join on nodes and a sum by
+    source and node, so the graph is never gathered in one task. Pairs may
+    repeat and have loops, which count once and not at all.
+    """
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").cast("double").alias("score"))
-    if pairs.count() > most_edges:
+    nodes = checkpointed(degree.select("node"))
+    n = nodes.count()
+    if n > cutoff_nodes or most_edges is not None and pairs.count() > most_edges:
         return degree.withColumn("mode", F.lit("degree"))
-
-    def brandes(pdf: pd.DataFrame) -> pd.DataFrame:
-        near, score = _adjacency(pdf), defaultdict(float)
-        for s in sorted(near):
-            order, before, paths, depth, queue = [], defaultdict(list), defaultdict(float, {s: 1.0}), {s: 0}, deque([s])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for w in sorted(near[v]):
-                    if w not in depth:
-                        depth[w] = depth[v] + 1
-                        queue.append(w)
-                    if depth[w] == depth[v] + 1:
-                        paths[w] += paths[v]
-                        before[w].append(v)
-            gain = defaultdict(float)
-            for w in reversed(order):
-                for v in before[w]:
-                    gain[v] += paths[v] / paths[w] * (1 + gain[w])
-                if w != s:
-                    score[w] += gain[w] / 2
-        return pd.DataFrame([(n, score[n], "exact") for n in sorted(near)], columns=["node", "score", "mode"])
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b").groupBy().applyInPandas(brandes, f"node {kind}, score double, mode string")
-
-
-def articulation_points(pairs: DataFrame, *, most_edges: int = 100_000) -> DataFrame:
-    """Nodes whose removal splits their component (graphs of at most ``most_edges``, checked)."""
-    if pairs.count() > most_edges:
-        raise ValueError("articulation points are found for bounded graphs only")
-
-    def tarjan(pdf: pd.DataFrame) -> pd.DataFrame:
-        near, order, low, found = _adjacency(pdf), {}, {}, set()
-        for root in sorted(near):
-            if root in order:
-                continue
-            order[root] = low[root] = len(order)
-            stack, children = [(root, None, iter(sorted(near[root])))], 0
-            while stack:
-                v, parent, rest = stack[-1]
-                for w in rest:
-                    if w not in order:
-                        order[w] = low[w] = len(order)
-                        children += v == root
-                        stack.append((w, v, iter(sorted(near[w]))))
-                        break
-                    if w != parent:
-                        low[v] = min(low[v], order[w])
-                else:
-                    stack.pop()
-                    if parent is not None:
-                        low[parent] = min(low[parent], low[v])
-                        if parent != root and low[v] >= order[parent]:
-                            found.add(parent)
-            if children > 1:
-                found.add(root)
-        return pd.DataFrame({"node": pd.Series(sorted(found), dtype=object)})
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b").groupBy().applyInPandas(tarjan, f"node {kind}")
+    deepest = None if n <= exact_nodes else cutoff
+    edges = _both_ways(pairs)
+    batches = max(1, -(-n * edges.count() // rows_a_batch))
+    parts = []
+    for i in range(batches):
+        seeds = nodes.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == i).select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"))
+        levels = [checkpointed(seeds)]
+        while deepest is None or len(levels) <= deepest:
+            step = levels[-1].join(edges, F.col("node") == F.col("a")).groupBy("source", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
+            # Neighbours of a level are in it, in the one before or in the next.
+            for seen in levels[-2:]:
+                step = step.join(seen.select("source", "node"), ["source", "node"], "left_anti")
+            new = checkpointed(step)
+            if new.isEmpty():
+                break
+            levels.append(new)
+        later = None
+        for level in reversed(levels[1:]):
+            here = level.withColumn("share", F.lit(0.0))
+            if later is not None:
+                share = ((1 + F.col("gain")) / F.col("paths")).alias("share")
+                handed = later.join(edges, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), share).groupBy("source", "node").agg(F.sum("share").alias("share"))
+                here = level.join(handed, ["source", "node"], "left")
+            later = checkpointed(here.select("source", "node", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("gain")))
+            parts.append(later.groupBy("node").agg(F.sum("gain").alias("gain")))
+    total = nodes.select("node", F.lit(0.0).alias("gain"))
+    for part in parts:
+        total = total.unionByName(part)
+    return total.groupBy("node").agg((F.sum("gain") / 2).alias("score")).withColumn("mode", F.lit("exact" if deepest is None else "cutoff"))
+
+
+def _before(children: DataFrame, slices: int = 64) -> DataFrame:
+    """For each of rows (node, parent, size) the sizes of its earlier siblings; a parent's children are summed in slices first, so that a hub is shared out."""
+    sliced = children.withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(slices)).cast("int"))
+    earlier = lambda *by: F.coalesce(F.sum("size").over(Window.partitionBy("parent", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sliced.groupBy("parent", "slice").agg(F.sum("size").alias("size")).withColumn("start", earlier("slice")).select("parent", "slice", "start")
+    return sliced.withColumn("before", earlier("slice", "node")).join(starts, ["parent", "slice"]).select("node", "parent", "size", (F.col("start") + F.col("before")).alias("before"))
+
+
+def articulation_points(pairs: DataFrame) -> DataFrame:
+    """Nodes of an undirected graph of pairs (a, b) whose removal splits their component: node.
+
+    A spanning forest is walked by levels from each component's least node, with
+    subtree sizes summed upwards and preorder numbers handed downwards. From the
+    least and largest number that a subtree reaches past its tree edges follows
+    which tree edges lie on a cycle together; components of that relation are the
+    blocks, and a node in two of them is an articulation point. No graph is
+    gathered in one task, and any number of edges will do; there are a few jobs
+    for each level of the forest. Loops and repeated pairs change nothing.
+    """
+    edges = _both_ways(pairs)
+    roots = components(edges).where("node = component").select("node")
+    levels = [checkpointed(roots.select("node", F.lit(None).cast(roots.schema["node"].dataType).alias("parent")))]
+    while True:
+        step = levels[-1].join(edges, F.col("node") == F.col("a")).groupBy(F.col("b").alias("found")).agg(F.min("a").alias("parent")).withColumnRenamed("found", "node")
+        for seen in levels[-2:]:
+            step = step.join(seen.select("node"), "node", "left_anti")
+        new = checkpointed(step.select("node", "parent"))
+        if new.isEmpty():
+            break
+        levels.append(new)
+    sized, below = [], None
+    for level in reversed(levels):
+        here = level.withColumn("own", F.lit(0).cast("bigint"))
+        if below is not None:
+            here = level.join(below.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("own")), "node", "left")
+        below = checkpointed(here.select("node", "parent", (1 + F.coalesce("own", F.lit(0))).alias("size")))
+        sized.insert(0, below)
+    # Numbers are told apart within a component only, which is where they are compared.
+    numbered = [checkpointed(sized[0].withColumn("pre", F.lit(0).cast("bigint")))]
+    for level in sized[1:]:
+        above = numbered[-1].select(F.col("node").alias("parent"), F.col("pre").alias("start"))
+        numbered.append(checkpointed(_before(level).join(above, "parent").select("node", "parent", "size", (F.col("start") + 1 + F.col("before")).alias("pre"))))
+    tree = numbered[0]
+    for level in numbered[1:]:
+        tree = tree.unionByName(level)
+    tree = checkpointed(tree)
+    end = lambda side: tree.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("parent", "size", "pre")])
+    beside = checkpointed(edges.join(end("a"), "a").join(end("b"), "b").where(~F.col("parent_a").eqNullSafe(F.col("b")) & ~F.col("parent_b").eqNullSafe(F.col("a"))))
+    met = beside.groupBy(F.col("a").alias("node")).agg(F.min("pre_b").alias("low"), F.max("pre_b").alias("high"))
+    reached, below = [], None
+    for level in reversed(numbered):
+        here = level.join(met, "node", "left").select("node", "parent", "size", "pre", F.least("pre", F.coalesce("low", "pre")).alias("low"), F.greatest("pre", F.coalesce("high", "pre")).alias("high"))
+        if below is not None:
+            under = below.groupBy(F.col("parent").alias("node")).agg(F.min("low").alias("low_under"), F.max("high").alias("high_under"))
+            here = here.join(under, "node", "left").select("node", "parent", "size", "pre", F.least("low", "low_under").alias("low"), F.greatest("high", "high_under").alias("high"))
+        below = checkpointed(here)
+        reached.append(below)
+    told = reached[0]
+    for level in reached[1:]:
+        told = told.unionByName(level)
+    # A node stands for the tree edge to its parent.
+    across = beside.where("pre_a + size_a <= pre_b").select("a", "b")
+    upper = tree.where("parent is not null").select(F.col("node").alias("parent"), F.col("pre").alias("pre_up"), F.col("size").alias("size_up"))
+    along = told.join(upper, "parent").where("low < pre_up or high >= pre_up + size_up").select(F.col("parent").alias("a"), F.col("node").alias("b"))
+    blocks = components(checkpointed(across.unionByName(along)))
+    edge = tree.where("parent is not null").join(blocks, "node", "left").select("node", "parent", F.coalesce("component", "node").alias("block"))
+    held = edge.select("node", "block").unionByName(edge.select(F.col("parent").alias("node"), "block"))
+    return held.groupBy("node").agg(F.min("block").alias("least"), F.max("block").alias("most")).where("least != most").select("node")
 
 
 def risk(weights: DataFrame, fan_in: DataFrame) -> DataFrame:
