@@ -137,22 +137,27 @@ def betweenness(
     repeat and have loops, which count once and not at all.
     """
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").cast("double").alias("score"))
-    nodes = checkpointed(degree.select("node"))
+    # Nodes get numbers, so that joins and sums are on longs.
+    nodes = checkpointed(degree.select("node", F.monotonically_increasing_id().alias("id")))
     n = nodes.count()
     if n > cutoff_nodes or most_edges is not None and pairs.count() > most_edges:
         return degree.withColumn("mode", F.lit("degree"))
     deepest = None if n <= exact_nodes else cutoff
-    edges = _both_ways(pairs)
-    batches = max(1, -(-n * edges.count() // rows_a_batch))
+    number = lambda side: nodes.select(F.col("node").alias(side), F.col("id").alias(f"id_{side}"))
+    edges = checkpointed(_both_ways(pairs).join(number("a"), "a").join(number("b"), "b").select(F.col("id_a").alias("id"), F.col("id_b").alias("next")))
+    m = edges.count()
+    batches = max(1, -(-n * m // rows_a_batch))
+    # A broadcast of checked size; a larger edge list is shuffled with the walks.
+    near = F.broadcast(edges) if m <= 1_000_000 else edges
     parts = []
     for i in range(batches):
-        seeds = nodes.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == i).select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"))
+        seeds = nodes.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i).select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths"))
         levels = [checkpointed(seeds)]
         while deepest is None or len(levels) <= deepest:
-            step = levels[-1].join(edges, F.col("node") == F.col("a")).groupBy("source", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
+            step = levels[-1].join(near, "id").groupBy("source", "next").agg(F.sum("paths").alias("paths")).withColumnRenamed("next", "id")
             # Neighbours of a level are in it, in the one before or in the next.
             for seen in levels[-2:]:
-                step = step.join(seen.select("source", "node"), ["source", "node"], "left_anti")
+                step = step.join(seen.select("source", "id"), ["source", "id"], "left_anti")
             new = checkpointed(step)
             if new.isEmpty():
                 break
@@ -162,14 +167,15 @@ def betweenness(
             here = level.withColumn("share", F.lit(0.0))
             if later is not None:
                 share = ((1 + F.col("gain")) / F.col("paths")).alias("share")
-                handed = later.join(edges, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), share).groupBy("source", "node").agg(F.sum("share").alias("share"))
-                here = level.join(handed, ["source", "node"], "left")
-            later = checkpointed(here.select("source", "node", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("gain")))
-            parts.append(later.groupBy("node").agg(F.sum("gain").alias("gain")))
-    total = nodes.select("node", F.lit(0.0).alias("gain"))
+                handed = later.select("source", "id", share).join(near, "id").groupBy("source", "next").agg(F.sum("share").alias("share")).withColumnRenamed("next", "id")
+                here = level.join(handed, ["source", "id"], "left")
+            later = checkpointed(here.select("source", "id", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("gain")))
+            parts.append(checkpointed(later.groupBy("id").agg(F.sum("gain").alias("gain"))))
+    total = nodes.select("id", F.lit(0.0).alias("gain"))
     for part in parts:
         total = total.unionByName(part)
-    return total.groupBy("node").agg((F.sum("gain") / 2).alias("score")).withColumn("mode", F.lit("exact" if deepest is None else "cutoff"))
+    summed = total.groupBy("id").agg((F.sum("gain") / 2).alias("score"))
+    return nodes.join(summed, "id").select("node", "score", F.lit("exact" if deepest is None else "cutoff").alias("mode"))
 
 
 def _before(children: DataFrame, slices: int = 64) -> DataFrame:
