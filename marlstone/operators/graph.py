@@ -98,6 +98,23 @@ def components(pairs: DataFrame) -> DataFrame:
         now = new
 
 
+def terminals(links: DataFrame) -> DataFrame:
+    """End of each chain of links (id, at; at = id or null is an end): id, terminal.
+
+    Links jump to their link's link until nothing moves, so a chain of n takes
+    about log2(n) rounds. A row that leads to no other row ends where it points. Chains must end:
+    a cycle is an error, found when more rounds than there can be are needed.
+    """
+    now = checkpointed(links.select("id", F.coalesce("at", "id").alias("at")))
+    for _ in range(now.count().bit_length() + 1):
+        far = now.select(F.col("id").alias("at"), F.col("at").alias("far"))
+        new = checkpointed(now.join(far, "at", "left").select("id", F.coalesce("far", "at").alias("at")))
+        if new.join(now.withColumnRenamed("at", "was"), "id").where("at != was").isEmpty():
+            return new.withColumnRenamed("at", "terminal")
+        now = new
+    raise ValueError("links have a cycle")
+
+
 def label_propagation(pairs: DataFrame, *, rounds: int = 24) -> DataFrame:
     """Synchronous label propagation: each node takes the heaviest label around it, the least of equals.
 

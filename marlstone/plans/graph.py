@@ -370,10 +370,7 @@ def _(spark, d):
     return B.scoped(part.where("p_size <= 40"), part.where("p_size > 20"))
 
 
-@query("h13_supersession", "WITH RECURSIVE l AS (SELECT n AS id, CASE WHEN n % 5 <> 0 THEN n + 1 END AS next FROM (SELECT DISTINCT user_id AS n FROM events)), r(id, cur, hop) AS (SELECT id, id, 0 FROM l UNION ALL SELECT r.id, l.next, hop + 1 FROM r JOIN l ON r.cur = l.id WHERE l.next IS NOT NULL AND hop < 8) SELECT id, arg_max(cur, hop) AS terminal FROM r GROUP BY id")
+@query("h13_supersession", "WITH RECURSIVE l AS (SELECT n AS id, CASE WHEN n % 5 <> 0 THEN n + 1 END AS next FROM (SELECT DISTINCT user_id AS n FROM events)), r(id, cur, hop) AS (SELECT id, id, 0 FROM l UNION ALL SELECT r.id, l.next, hop + 1 FROM r JOIN l ON r.cur = l.id WHERE l.next IS NOT NULL) SELECT id, arg_max(cur, hop) AS terminal FROM r GROUP BY id")
 def _(spark, d):
     links = table(spark, d, "events").select(F.col("user_id").alias("id")).distinct().withColumn("at", F.when(F.col("id") % 5 != 0, F.col("id") + 1).otherwise(F.col("id")))
-    for _ in range(3):
-        far = links.select(F.col("id").alias("at"), F.col("at").alias("far"))
-        links = G.checkpointed(links.join(far, "at", "left").select("id", F.coalesce("far", "at").alias("at")))
-    return links.withColumnRenamed("at", "terminal")
+    return G.terminals(links)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import graph_merge as M
 from marlstone.operators import incremental as I
 from marlstone.registry import portable, query, table
 
@@ -90,6 +91,22 @@ def _(spark, d):
     return I.merged_edges(old, changed, edges.where("owner % 5 = 0"), owner="owner")
 
 
+@query("c10_graph_merge", """WITH d AS (SELECT p_name || '#' || p_size AS symbol, p_partkey AS node FROM part), n AS (SELECT symbol, count(DISTINCT node) AS n, min(node) AS node FROM d GROUP BY symbol),
+    r AS (SELECT DISTINCT 's' || l_suppkey AS file, p_name || '#' || p_size AS symbol FROM lineitem JOIN part ON p_partkey = l_partkey)
+    SELECT file, symbol, CASE WHEN n = 1 THEN node END AS target, CASE WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'EXTRACTED' END AS confidence FROM r LEFT JOIN n USING (symbol)""")
+def _(spark, d):
+    """Suppliers reference parts, brands define them. Stored is a graph where some brands had other names and every fifth supplier other references."""
+    part = table(spark, d, "part").select(F.col("p_brand").alias("file"), F.concat_ws("#", "p_name", F.col("p_size").cast("string")).alias("symbol"), F.col("p_partkey").alias("node"))
+    named = table(spark, d, "lineitem").join(part.select(F.col("node").alias("l_partkey"), "symbol"), "l_partkey")
+    references = named.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("file"), "symbol").distinct()
+    other = F.col("file").rlike("[13]$")
+    old_name = F.when(other & (F.col("node") % 3 == 0), F.concat(F.lit("old "), "symbol")).when(other & (F.col("node") % 3 == 1), F.regexp_replace("symbol", "#.*", "#1")).otherwise(F.col("symbol"))
+    late = F.pmod(F.xxhash64("file"), F.lit(5)) == 0
+    stored = M.build(part.withColumn("symbol", old_name), references.where(~late | (F.xxhash64("symbol") % 2 == 0)))
+    changed = part.where(other).select("file").unionByName(references.where(late).select("file"))
+    return M.merge(stored, changed, part.where(other), references.where(late))[0].edges
+
+
 portable(
     "c11_fingerprint",
     "SELECT [[sha]] AS fingerprint FROM {nation}",

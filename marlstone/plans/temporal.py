@@ -104,6 +104,40 @@ def _(spark, d):
     return minted(orders, key="o_orderkey", day="o_orderdate")
 
 
+@query("i14_minted_slots", """WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1970-01-01', (date_trunc('month', o_orderdate))::DATE) * 4096 + 60000000 + ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 3))::BIGINT AS own FROM orders),
+    p AS (SELECT o_orderkey, own, row_number() OVER (ORDER BY own, o_orderkey) AS place FROM o)
+    SELECT o_orderkey, (max(own - place) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) + place)::BIGINT AS number FROM p""")
+def _(spark, d):
+    """Ids of orders by month, hashed as both engines can."""
+    from marlstone.operators.lifecycle import minted
+
+    orders = table(spark, d, "orders").select("o_orderkey", F.trunc("o_orderdate", "month").alias("month"))
+    hashed = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 3), 16, 10)
+    return minted(orders, key="o_orderkey", day="month", hashed=hashed).select("o_orderkey", "number")
+
+
+@query("i13_rank_gate", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    s AS (SELECT a.vec_id AS qid, b.vec_id, a.label = b.label AS rel, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 9) AS c FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+    k AS (SELECT qid, vec_id, rel, row_number() OVER (PARTITION BY qid ORDER BY c DESC, vec_id) AS n FROM s WHERE c >= 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY vec_id) AS o FROM k WHERE n <= 20),
+    q AS (SELECT qid, max((rel AND n <= 3)::INT)::DOUBLE AS hit, coalesce(max(1.0::DOUBLE / n) FILTER (rel), 0) AS rr, max((rel AND o <= 3)::INT)::DOUBLE AS hit_o, coalesce(max(1.0::DOUBLE / o) FILTER (rel), 0) AS rr_o FROM r GROUP BY qid),
+    m AS (SELECT avg(hit) AS recall, avg(rr) AS mrr, avg(hit_o) AS recall_o, avg(rr_o) AS mrr_o FROM q)
+    SELECT round(recall, 6) AS recall, round(mrr, 6) AS mrr, recall >= recall_o AND mrr > mrr_o AS passed FROM m""")
+def _(spark, d):
+    """May the ranking of the 20 nearest by cosine replace that by id? Recall at 3 and mean reciprocal rank of both."""
+    from marlstone.operators import retrieval
+
+    v = table(spark, d, "embeddings")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").alias("own"))
+    order = [F.round("score", 9).desc(), F.col("vec_id")]
+    near = retrieval.vector_top_k(v, asked.select("qid", "embedding"), 21).where("qid != vec_id").drop("rank")
+    near = retrieval.top_n(near, 20, by=order).drop("rank")
+    near = near.join(v.select("vec_id", "label"), "vec_id").join(asked.select("qid", "own"), "qid").select("qid", "vec_id", "score", (F.col("label") == F.col("own")).alias("rel"))
+    told = lambda *by: R.recall_and_mrr(retrieval.top_n(near, 20, by=list(by), rank="place"), "qid", relevant=F.col("rel"), place="place")
+    gate = R.eval_gate(told(*order), told(F.col("vec_id")), invariants=F.lit(True))
+    return gate.select(F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), "passed")
+
+
 @query("i15_decoded_order", "SELECT doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY CAST(substr(source, 4) AS BIGINT), doc_id) AS place FROM documents")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "lang")
