@@ -39,7 +39,17 @@ def _(spark, d):
     return S.allowed(found(spark, d), words=["example.net"], pattern="^10[.]|mail0").select("doc_id", "line_no", "rule", "matched")
 
 
-@query("k5_span_dedup", f"WITH {FOUND} SELECT doc_id, line_no, rule, matched FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.ord < a.ord AND b.start < a.stop AND a.start < b.stop)")
+_PIECES_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, line_no, '{rule}' AS rule, {n} AS ord, regexp_extract_all(line, '{pattern}') AS m, string_split_regex(line, '{pattern}') AS p FROM l WHERE contains(line, '{word}')"
+    for rule, n, word, pattern in S.RULES
+)
+#: Each match at its own place: behind the pieces between matches and the matches before it.
+PLACED = f"""{FOUND}, f1 AS ({_PIECES_SQL}),
+f2 AS (SELECT doc_id, line_no, rule, ord, unnest(m) AS matched, unnest(list_transform(range(1, len(m) + 1), lambda j: 1 + list_sum(list_transform(p[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0)))::BIGINT AS start FROM f1),
+pl AS (SELECT *, start + length(matched) AS stop FROM f2)"""
+
+
+@query("k5_span_dedup", f"WITH {PLACED} SELECT doc_id, line_no, rule, matched FROM pl a WHERE NOT EXISTS (SELECT 1 FROM pl b WHERE a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.ord < a.ord AND b.start < a.stop AND a.start < b.stop)")
 def _(spark, d):
     return S.without_overlaps(found(spark, d)).select("doc_id", "line_no", "rule", "matched")
 
