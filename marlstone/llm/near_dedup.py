@@ -180,13 +180,14 @@ def similarities(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return both.mapInArrow(_measured, "a binary, b binary, s double")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, *, rows_a_file: int = 50_000) -> DataFrame:
     """Connected components of edges (a, b): node and its component's least node.
 
     Alternating star contraction: in turn each node's larger, then smaller
     neighbours are tied to the least neighbour, until nothing changes. Minima
     are combined before a shuffle and joins on a node with very many edges are
-    split by adaptive execution; each round is checkpointed.
+    split by adaptive execution; each round is checkpointed, in about one file
+    for ``rows_a_file`` edges.
     """
 
     def turn(pairs: DataFrame) -> DataFrame:
@@ -203,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(now)
     while seen[0]:
-        now = checkpointed(turn(now))
+        now = checkpointed(turn(now).coalesce(max(8, -(-seen[0] // rows_a_file))))
         if (told := mark(now)) == seen:
             break
         seen = told
