@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from marlstone.registry import query
 from marlstone.sources.artifacts import scratch
 from marlstone.streaming import ledger as L
+from marlstone.streaming import publication as P
 
 
 def stream(spark, d):
@@ -52,3 +54,30 @@ def _(spark, d):
 def _(spark, d):
     kept = L.without_replays(L.stamped(stream(spark, d)))
     return L.drained(kept).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("l4_compare_and_set", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def _(spark, d):
+    """Two streams, of even and of odd users, publish into one target; each batch has a generation of its own."""
+    target, events = scratch(spark, "published"), stream(spark, d)
+    for odd in (0, 1):
+        P.publish(events.where(F.col("user_id") % 2 == odd), target, name=f"half{odd}", state=scratch(spark, "state"))
+    return P.published(spark, target, events.schema).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("l7_idempotent_sink", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def _(spark, d):
+    """The stream dies between its first batch's write and commit and starts again; totals are those of one run."""
+    target, state, killed = scratch(spark, "published"), scratch(spark, "state"), []
+
+    def kill(number: int) -> None:
+        if not killed:
+            killed.append(number)
+            raise RuntimeError("killed before the commit")
+
+    events = stream(spark, d)
+    try:
+        P.publish(events, target, name="ledger", state=state, before_commit=kill)
+    except StreamingQueryException:
+        P.publish(events, target, name="ledger", state=state)
+    return P.published(spark, target, events.schema).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
