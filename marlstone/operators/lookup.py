@@ -177,3 +177,20 @@ def ranked(df: DataFrame, *order: Column, within: tuple[str, ...] = (), place: s
     out = out.withColumn("_key", key)
     first = out.groupBy("_key").agg(F.min(place).alias("_first"))
     return out.join(first, "_key").withColumn(place, F.col(place) - F.col("_first") + 1).drop("_key", "_first")
+
+
+def running_total(df: DataFrame, value: str, *order: Column, within: tuple[str, ...] = (), total: str = "upto", block: int = 1 << 16) -> DataFrame:
+    """Each row with the sum of ``value`` up to it in an order, within its group, without a window over a group.
+
+    Rows are ranked over all tasks; sums run within blocks of places and over the
+    blocks' sums, of which there is one for ``block`` rows. Null counts as 0.
+    """
+    placed = ranked(df, *order, within=within, place="_place").withColumn("_block", F.floor(F.col("_place") / block).cast("bigint"))
+    # A key without nulls, so that null is a group of its own in the join.
+    placed = placed.withColumn("_group", F.to_json(F.struct(F.lit(0).alias("_"), *within), {"ignoreNullFields": "false"}))
+    sums = placed.groupBy("_group", "_block").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
+    earlier = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_group", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.sum(F.coalesce(value, F.lit(0))).over(Window.partitionBy("_group", "_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
+    out = placed.withColumn("_inside", inside).join(before, ["_group", "_block"])
+    return out.withColumn(total, F.col("_before") + F.col("_inside")).drop("_group", "_block", "_place", "_inside", "_before")

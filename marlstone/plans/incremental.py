@@ -114,6 +114,13 @@ portable(
 )
 
 
+@query("c11_table_fingerprint", "SELECT count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag)), 1, 12))::BIGINT)::VARCHAR AS digest FROM lineitem")
+def _(spark, d):
+    row = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")]).cast("binary"))
+    out = I.fingerprint(table(spark, d, "lineitem"), F.conv(F.substring(row, 1, 12), 16, 10))
+    return out.select("n", F.col("digest").cast("string").alias("digest"))
+
+
 @query("c12_index_health", "SELECT lang AS layer, CASE WHEN count(*) = 0 THEN 'absent' WHEN count(*) FILTER (n_chars < 10) > 0 THEN 'degraded' WHEN count(*) FILTER (doc_id % 97 = 0) > 0 THEN 'needs_update' ELSE 'ready' END AS health FROM documents GROUP BY lang")
 def _(spark, d):
     g = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") % 97 == 0).alias("stale"), F.count_if(F.col("n_chars") < 10).alias("missing"))

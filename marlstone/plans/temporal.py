@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.operators import freshness as R
-from marlstone.operators.lookup import ranked
+from marlstone.operators.lookup import ranked, running_total
 from marlstone.registry import portable, query, table
 
 
@@ -84,11 +84,12 @@ portable(
 )
 portable("i10_active_budget", "SELECT user_id % 10 AS lane, count(*) AS active, CAST(greatest(0, 1000 - count(*)) AS BIGINT) AS remaining, count(*) > 1000 AS curate FROM {events} WHERE event_type <> 'error' GROUP BY user_id % 10")
 portable("i11_proposals", "SELECT d.doc_id FROM {documents} d [[anti]] {labels} l ON d.doc_id = l.doc_id WHERE d.n_chars > 1000", anti="LEFT ANTI JOIN ~~ ANTI JOIN")
-portable(
-    "i12_backfill_paging",
-    """WITH c AS (SELECT doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, source FROM {documents})
-    SELECT doc_id, source, CAST(floor((upto - 1) / 65536) AS BIGINT) AS batch FROM c""",
-)
+@query("i12_backfill_paging", """WITH c AS (SELECT doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, source FROM documents)
+    SELECT doc_id, source, CAST(floor((upto - 1) / 65536) AS BIGINT) AS batch FROM c""")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    upto = running_total(docs, "n_chars", F.col("doc_id"), within=("source",))
+    return upto.select("doc_id", "source", F.floor((F.col("upto") - 1) / 65536).cast("bigint").alias("batch"))
 
 
 @query("i13_eval_gate", "WITH g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, n, n >= 30 AS passed FROM g")

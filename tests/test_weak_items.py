@@ -96,3 +96,20 @@ def test_long_chains_and_cycles(spark):
     assert {r.id: r.terminal for r in graph.terminals(spark.createDataFrame(rows, "id bigint, at bigint")).collect()} == {**dict.fromkeys(range(100), 100), 200: 200, 201: 200, 300: 301}
     with pytest.raises(ValueError, match="cycle"):
         graph.terminals(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id bigint, at bigint"))
+
+
+def test_running_totals(spark):
+    """A hot group, a null one, null values, ties of the order; blocks smaller than a group."""
+    from marlstone.operators.lookup import running_total
+
+    rng = random.Random(3)
+    rows = [(i, "hot" if i % 3 else rng.choice([None, "a"]), rng.choice([None, 1, 5])) for i in range(600)]
+    df = spark.createDataFrame(rows, "i bigint, g string, v bigint").repartition(4)
+    for block in (1 << 16, 37):
+        sums, want = defaultdict(int), {}
+        for i, g, v in rows:
+            sums[g] += v or 0
+            want[i] = sums[g]
+        assert {r.i: r.upto for r in running_total(df, "v", F.col("i"), within=("g",), block=block).collect()} == want
+    assert [r.upto for r in running_total(df.where("g = 'a'"), "v", F.col("i")).orderBy("i").collect()][-1] == sum(v or 0 for _, g, v in rows if g == "a")
+    assert running_total(df.where("false"), "v", F.col("i"), within=("g",)).count() == 0
