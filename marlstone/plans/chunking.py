@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import token_estimate
 from marlstone.operators import chunking as C
+from marlstone.operators.markdown import markdown_chunks
 from marlstone.registry import portable, query, table
 
 # --- sources -------------------------------------------------------------------------------------------------------
@@ -90,6 +91,19 @@ def _(spark, d):
     )
 
 
+@query("b2_markdown_chunks", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+    m AS (SELECT doc_id, pos, CASE WHEN pos = 0 THEN '# ' WHEN length(line) < 40 THEN '## ' ELSE '- ' END || trim(line, ' .*%$&#|') AS line, trim(line, ' .*%$&#|') AS name, pos > 0 AND length(line) < 40 AS head FROM l),
+    s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS part, max(CASE WHEN pos = 0 THEN name END) OVER (PARTITION BY doc_id) AS title FROM m),
+    c AS (SELECT doc_id, part, min(pos) AS first_line, max(pos) AS last_line, any_value(title) AS title, max(CASE WHEN head THEN name END) AS name, string_agg(line, chr(10) ORDER BY pos) AS body FROM s GROUP BY doc_id, part)
+    SELECT doc_id, part::BIGINT AS chunk, 'doc' AS kind, array_to_string(list_filter([title, name], lambda x: x <> ''), ' > ') AS section, first_line::BIGINT AS first_line, last_line::BIGINT AS last_line,
+           sha256(CASE WHEN part = 0 OR title = '' THEN body ELSE '# ' || title || chr(10) || chr(10) || body END) AS digest FROM c""")
+def _(spark, d):
+    """Documents as Markdown: the first line is the title, short lines are sections, others are items."""
+    marked = F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.when(i == 0, "# ").when(F.length(line) < 40, "## ").otherwise("- "), F.trim(line, F.lit(" .*%$&#|"))))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(marked, "\n").alias("text"))
+    return markdown_chunks(docs).withColumn("digest", F.sha2("text", 256)).drop("text")
+
+
 @query("b3_oversize_split", "SELECT doc_id, part::BIGINT AS part, substr(text, (part * 1500 + 1)::INT, 1500) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(1, (length(text) + 1499) // 1500))) AS part FROM documents)")
 def _(spark, d):
     return C.oversize_split(table(spark, d, "documents"))
