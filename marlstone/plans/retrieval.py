@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import tokens
 from marlstone.functions.vectors import dot
 from marlstone.operators import lookup as L
+from marlstone.operators.chunking import line_windows
+from marlstone.operators.collapse import collapsed
 from marlstone.operators import postings as P
 from marlstone.operators import retrieval as R
 from marlstone.operators.vector_index import build_index, search_index
@@ -260,6 +262,16 @@ portable(
 )
 
 
+@query("f13_collapse")
+def _(spark, d):
+    """Candidates of two retrievers, cut into overlapping windows of lines, as hits: tests hold them against brute force."""
+    found = ranked(spark, d).select("qid", "doc_id", "rank", F.lit("lexical").alias("source")).unionByName(by_length(spark, d).select("qid", "doc_id", "rank", F.lit("length").alias("source")))
+    docs = table(spark, d, "documents").join(R.small(found.select("doc_id").distinct()), "doc_id", "left_semi")
+    hits = line_windows(docs, size=12, overlap=4).join(found, "doc_id")
+    name = F.concat_ws(":", "qid", "source", "doc_id", "chunk")
+    return collapsed(hits.select("qid", name.alias("id"), F.col("doc_id").alias("file"), F.col("first_line").alias("first"), F.col("last_line").alias("last"), F.lit(None).cast("string").alias("symbol"), "text", "source", "rank"))
+
+
 @query("f22_retrieval_metrics", f"WITH {VECTORS_SQL}, r AS (SELECT qid, rank, CASE WHEN label = own THEN 1 ELSE 0 END AS rel FROM k WHERE rank <= 11 AND vec_id <> qid) SELECT qid, sum(rel)::BIGINT AS hits, round(coalesce(max(rel / rank), 0), 6) AS mrr, round(sum(rel / log2(1 + rank)), 6) AS dcg FROM r GROUP BY qid")
 def _(spark, d):
     own = table(spark, d, "embeddings").select("vec_id", "label")
