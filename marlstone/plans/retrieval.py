@@ -262,7 +262,7 @@ portable(
 )
 
 
-@query("f13_collapse")
+@query("f13_collapse_hits")
 def _(spark, d):
     """Candidates of two retrievers, cut into overlapping windows of lines, as hits: tests hold them against brute force."""
     found = ranked(spark, d).select("qid", "doc_id", "rank", F.lit("lexical").alias("source")).unionByName(by_length(spark, d).select("qid", "doc_id", "rank", F.lit("length").alias("source")))

@@ -18,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _new(name: str) -> None:
+    if name in _queries:
+        raise ValueError(f"two queries are called {name}")
+
+
 def query(name: str, sql: str | None = None):
     """Register a query (spark, sf_dir) -> DataFrame, and its SQL where there is one."""
 
     def keep(f):
+        _new(name)
         _queries[name] = f
         if sql:
             _sql[name] = sql
@@ -45,6 +51,7 @@ def portable(key: str, text: str, /, **changes: str) -> None:
         return spark.sql(ours, **{n: table(spark, sf_dir, n) for n in names})
 
     run.__name__ = key
+    _new(key)
     _queries[key] = run
     _sql[key] = re.sub(r"\{(\w+)\}", r"\1", theirs)
 
