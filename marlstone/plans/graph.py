@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import bindings as B
 from marlstone.operators import graph as G
 from marlstone.operators.communities import cluster
+from marlstone.operators.postprocess import absorbed, remapped
 from marlstone.registry import portable, query, table
 
 EDGES_SQL = """edges AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, 'calls' AS relation, CASE WHEN max(l_returnflag = 'A') THEN 'RESOLVED' ELSE 'EXTRACTED' END AS confidence FROM lineitem GROUP BY 1, 2
@@ -200,6 +201,17 @@ portable(
 )
 
 
+@query("g18_stable_communities")
+def _(spark, d):
+    """Communities of two builds, the earlier without every seventh part's calls: small ones absorbed, then under the earlier names."""
+    late = F.pmod(F.xxhash64("target"), F.lit(7)) == 0
+    builds = []
+    for rows in (edges(spark, d).where(~late), edges(spark, d)):
+        pairs = G.checkpointed(G.weighted_pairs(rows))
+        builds.append(absorbed(G.label_propagation(pairs), pairs))
+    return remapped(builds[1], builds[0])
+
+
 @query("g19_split", f"WITH RECURSIVE {EDGES_SQL}, e AS (SELECT source AS a, target AS b FROM edges WHERE relation = 'defines' UNION SELECT target, source FROM edges WHERE relation = 'defines'), r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, min(b) AS component FROM r GROUP BY a")
 def _(spark, d):
     strong = edges(spark, d).where("relation = 'defines'")
