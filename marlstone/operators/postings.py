@@ -99,9 +99,9 @@ def merge_segments(spark: SparkSession, path: str, *, range_rows: int = RANGE_RO
     return segment
 
 
-def blocks_of(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+def blocks_of(spark: SparkSession, path: str, asked: DataFrame, live: list[str] | None = None) -> DataFrame:
     """Live blocks of the asked terms (a ``term`` column): only these terms' buckets of live segments are read."""
-    live = [r["segment"] for r in segments(spark, path).collect()]
+    live = [r["segment"] for r in segments(spark, path).collect()] if live is None else live
     # Numbers of buckets, of which there are ``BUCKETS`` at most.
     buckets = sorted(r["b"] for r in asked.select(bucket_of(F.col("term")).alias("b")).distinct().collect())
     every = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.col("segment").isin(live) & F.col("bucket").isin(buckets))
@@ -128,16 +128,17 @@ def search(spark: SparkSession, path: str, questions: DataFrame, n: int = 20, *,
     scored before the others, for a threshold.
     """
     asked = checkpointed(questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
-    stats = segments(spark, path).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("docs"), F.sum("total").alias("total")).first()
-    average = (stats["total"] or 0) / max(1, stats["docs"])
-    found = blocks_of(spark, path, asked)
+    live = segments(spark, path).collect()
+    stats = {"docs": sum(r["n"] for r in live), "total": sum(r["total"] for r in live)}
+    average = stats["total"] / max(1, stats["docs"])
+    found = blocks_of(spark, path, asked, [r["segment"] for r in live])
     impact = lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / average)) if average else F.lit(0.0)
     bounds = found.select("term", "segment", "range_id", "n", impact(F.col("max_tf"), F.col("min_dl")).alias("impact"))
     df = F.sum("n").alias("df")
     idf = F.log(1 + (F.lit(stats["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = checkpointed(asked.join(bounds.groupBy("term").agg(df), "term").select("qid", "term", idf.alias("idf")))
+    weights = small(checkpointed(asked.join(bounds.groupBy("term").agg(df), "term").select("qid", "term", idf.alias("idf"))))
     # What each range can give a question at most: numbers of blocks, without their postings.
-    most = checkpointed(bounds.join(small(weights), "term").groupBy("qid", "segment", "range_id").agg(F.sum(F.col("impact") * F.col("idf")).alias("most"), F.max("n").alias("n")))
+    most = checkpointed(bounds.join(weights, "term").groupBy("qid", "segment", "range_id").agg(F.sum(F.col("impact") * F.col("idf")).alias("most"), F.max("n").alias("n")))
     by_bound = Window.partitionBy("qid").orderBy(F.col("most").desc(), "segment", "range_id")
     # No fewer ranges than have n documents together; a range has one at least.
     lead = top_n(most, first_ranges or n, by=[F.col("most").desc(), F.col("segment"), F.col("range_id")], rank="place")
@@ -145,7 +146,7 @@ def search(spark: SparkSession, path: str, questions: DataFrame, n: int = 20, *,
     lead = checkpointed(lead.select("qid", "segment", "range_id"))
 
     def scored(ranges: DataFrame) -> DataFrame:
-        wanted = ranges.join(small(weights), "qid")
+        wanted = ranges.join(weights, "qid")
         held = found.join(small(wanted), ["term", "segment", "range_id"]).select("qid", "idf", F.inline("docs"))
         return held.groupBy("qid", F.col("doc_id").alias(key)).agg(F.sum(F.col("idf") * impact(F.col("tf"), F.col("dl"))).alias("score"))
 
