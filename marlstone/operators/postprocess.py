@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.communities import written
-from marlstone.operators.graph import components
+from marlstone.operators.graph import components, stored
 
 
 def remapped(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -18,13 +17,13 @@ def remapped(new: DataFrame, old: DataFrame) -> DataFrame:
     what a greedy pass over all pairs would, in few rounds. A community
     that gets no old name keeps its own, with a sign behind it if an old one has that name.
     """
-    shared = written(new.join(old.select("node", F.col("community").alias("was")), "node").groupBy("community", "was").agg(F.count("*").alias("n")))
+    shared = stored(new.join(old.select("node", F.col("community").alias("was")), "node").groupBy("community", "was").agg(F.count("*").alias("n")))
     matched = None
     while not shared.isEmpty():
         first = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(F.col("n").desc(), "community", "was"))
-        taken = written(shared.withColumn("i", first("community")).withColumn("j", first("was")).where("i = 1 and j = 1").select("community", "was"))
+        taken = stored(shared.withColumn("i", first("community")).withColumn("j", first("was")).where("i = 1 and j = 1").select("community", "was"))
         matched = taken if matched is None else matched.unionByName(taken)
-        shared = written(shared.join(taken.select("community"), "community", "left_anti").join(taken.select("was"), "was", "left_anti"))
+        shared = stored(shared.join(taken.select("community"), "community", "left_anti").join(taken.select("was"), "was", "left_anti"))
     if matched is None:
         return new.select("node", "community")
     names = matched.select(F.col("was").alias("community"), F.lit(True).alias("taken"))
@@ -48,18 +47,21 @@ def absorbed(communities: DataFrame, pairs: DataFrame, *, least: int = 12) -> Da
     community then, under the name of its largest (ties: least name). Each round
     leaves fewer small ones, so there are few rounds. Small ones without ties to others stay.
     """
-    now = written(communities.select("node", "community"))
+    now = stored(communities.select("node", "community"))
     while True:
-        sizes = written(now.groupBy("community").agg(F.count("*").alias("n")))
+        sizes = stored(now.groupBy("community").agg(F.count("*").alias("n")))
         small = sizes.where(F.col("n") < least).select("community")
         own = lambda side, now=now: now.select(F.col("node").alias(side), F.col("community").alias(f"c_{side}"))
-        across = pairs.join(own("a"), "a").join(own("b"), "b").where("c_a != c_b").select("c_a", "c_b", "weight")
-        both = across.select(F.col("c_a").alias("community"), F.col("c_b").alias("to"), "weight").unionByName(across.select(F.col("c_b").alias("community"), F.col("c_a").alias("to"), "weight"))
-        ties = both.join(small, "community", "left_semi").groupBy("community", "to").agg(F.sum("weight").alias("weight"))
-        chosen = written(ties.groupBy("community").agg(F.min(F.struct((-F.col("weight")).alias("w"), "to")).alias("best")).select(F.col("community").alias("a"), F.col("best.to").alias("b")))
+        # Only edges at nodes of small communities are looked at.
+        inside = stored(now.join(small, "community").select("node", "community"))
+        if inside.isEmpty():
+            return now
+        at = lambda x, y, own=own, inside=inside: pairs.join(inside.withColumnRenamed("node", x), x).join(own(y), y).select("community", F.col(f"c_{y}").alias("to"), "weight").where("community != to")
+        ties = at("a", "b").unionByName(at("b", "a")).groupBy("community", "to").agg(F.sum("weight").alias("weight"))
+        chosen = stored(ties.groupBy("community").agg(F.min(F.struct((-F.col("weight")).alias("w"), "to")).alias("best")).select(F.col("community").alias("a"), F.col("best.to").alias("b")))
         if chosen.isEmpty():
             return now
         groups = components(chosen).select(F.col("node").alias("community"), "component")
         lead = groups.join(sizes, "community").groupBy("component").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("lead"))
         named = groups.join(lead, "component").select("community", F.col("lead.community").alias("name"))
-        now = written(now.join(named, "community", "left").select("node", F.coalesce("name", "community").alias("community")))
+        now = stored(now.join(named, "community", "left").select("node", F.coalesce("name", "community").alias("community")))
