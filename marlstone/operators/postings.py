@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import tokens
-from marlstone.operators.graph import checkpointed
+from marlstone.operators.graph import checkpointed, dropped, released, stored
 from marlstone.operators.retrieval import small, top_n
 
 BUCKETS, RANGE_ROWS = 64, 512
@@ -34,7 +34,8 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
 
 def _write_segment(postings: DataFrame, lengths: DataFrame, path: str, segment: str, range_rows: int) -> None:
     """One segment from postings (doc_id, dl, term, tf) and lengths (class, n, total: documents and tokens of each length class)."""
-    classes = {r["class"]: (r["n"], r["total"]) for r in lengths.collect()}
+    with released(postings.sparkSession):
+        classes = {r["class"]: (r["n"], r["total"]) for r in lengths.collect()}
     # As many numbers as there are length classes (a few for each doubling).
     parts = F.coalesce(F.create_map(*[F.lit(x) for c, (n, _) in classes.items() for x in (c, max(1, n // range_rows))])[F.col("class")], F.lit(1)) if classes else F.lit(1)
     ranged = postings.withColumn("class", length_class(F.col("dl"))).withColumn("range_id", F.col("class").cast("bigint") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), parts))
@@ -44,7 +45,8 @@ def _write_segment(postings: DataFrame, lengths: DataFrame, path: str, segment:
     )
     placed = blocks.withColumn("segment", F.lit(segment)).withColumn("bucket", bucket_of(F.col("term")))
     # Sorted by term, so that a file's row groups are told apart by it; a bucket's terms are dealt by range too, so that a frequent one is shared out.
-    placed.repartition("bucket", F.pmod("range_id", F.lit(8))).sortWithinPartitions("term", "range_id").write.mode("append").partitionBy("segment", "bucket").parquet(f"{path}/blocks")
+    with released(postings.sparkSession):
+        placed.repartition("bucket", F.pmod("range_id", F.lit(8))).sortWithinPartitions("term", "range_id").write.mode("append").partitionBy("segment", "bucket").option("compression", "zstd").parquet(f"{path}/blocks")
     n, total = (sum(c[i] for c in classes.values()) for i in (0, 1))
     postings.sparkSession.createDataFrame([(segment, n, total)], "segment string, n bigint, total bigint").coalesce(1).write.mode("append").parquet(f"{path}/segments")
 
@@ -65,9 +67,10 @@ def add_segment(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
     segment = uuid.uuid4().hex
     words = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.explode(F.array(tokens(F.col(text)))).alias("words")).withColumn("dl", F.size("words"))
     counted = words.select("doc_id", "dl", F.explode_outer("words").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    counted = checkpointed(counted)
+    counted = stored(counted)
     lengths = counted.groupBy("doc_id", "dl").agg(F.count("*")).groupBy(length_class(F.col("dl")).alias("class")).agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
     _write_segment(counted.where("term is not null"), lengths, path, segment, range_rows)
+    dropped(counted)
     return segment
 
 
