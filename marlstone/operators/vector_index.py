@@ -10,6 +10,7 @@ nearest centres, and only k rows a question and block come back.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,25 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+#: Rows of scores of vectors against centres that a task holds at once, and rows that a batch of routed questions has at most.
+SCORED_ROWS, ROUTED_ROWS = 1024, 1 << 14
+
+
+def nearest_list(vectors: pd.Series, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each vector; scores are held for ``SCORED_ROWS`` vectors at a time."""
+    own = [(_unit(vectors.iloc[i : i + SCORED_ROWS]) @ centres.T).argmax(axis=1) for i in range(0, len(vectors), SCORED_ROWS)]
+    return np.concatenate(own).astype("int32")
+
+
+def routed_rows(pdf: pd.DataFrame, centres: np.ndarray, wanted: int) -> Iterator[pd.DataFrame]:
+    """A row for each question (qid, embedding) and each of its ``wanted`` nearest centres, in batches of about ``ROUTED_ROWS`` rows."""
+    at_once = max(1, min(SCORED_ROWS, ROUTED_ROWS // wanted))
+    for i in range(0, len(pdf), at_once):
+        part = pdf.iloc[i : i + at_once]
+        near = np.argpartition(-(_unit(part["embedding"]) @ centres.T), wanted - 1, axis=1)[:, :wanted]
+        yield pd.DataFrame({"qid": np.repeat(part["qid"].to_numpy(), wanted), "embedding": np.repeat(part["embedding"].to_numpy(), wanted), "list": near.ravel().astype("int32")})
+
+
 def fit_centres(sample: np.ndarray, lists: int, *, rounds: int = 10, seed: int = 0) -> np.ndarray:
     """Spherical k-means over a sample of unit vectors; a centre that loses its last row takes a random one."""
     rng = np.random.default_rng(seed)
@@ -72,7 +92,7 @@ def build_index(vectors: DataFrame, path: str, *, key: str = "vec_id", column: s
     def dealt(batches):
         for pdf in batches:
             if len(pdf):
-                pdf["list"] = (_unit(pdf["embedding"]) @ centres.T).argmax(axis=1).astype("int32")
+                pdf["list"] = nearest_list(pdf["embedding"], centres)
                 yield pdf[["list", "key", "embedding"]]
 
     placed = rows.mapInPandas(dealt, "list int, key bigint, embedding array<float>")
@@ -100,8 +120,7 @@ def search_index(spark: SparkSession, path: str, questions: DataFrame, k: int, *
     def routed(batches):
         for pdf in batches:
             if len(pdf) and len(centres):
-                near = np.argpartition(-(_unit(pdf["embedding"]) @ centres.T), wanted - 1, axis=1)[:, :wanted]
-                yield pd.DataFrame({"qid": np.repeat(pdf["qid"].to_numpy(), wanted), "embedding": np.repeat(pdf["embedding"].to_numpy(), wanted), "list": near.ravel().astype("int32")})
+                yield from routed_rows(pdf, centres, wanted)
 
     probed = asked.mapInPandas(routed, f"qid {kind}, embedding array<float>, list int").join(F.broadcast(sizes.select("list", "blocks")), "list")
     left = probed.select("qid", "embedding", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
