@@ -49,16 +49,24 @@ def top_n(ranked: DataFrame, n: int, *, by: list[Column], within: str = "qid", r
     return ranked.withColumn(rank, F.row_number().over(Window.partitionBy(within).orderBy(*by)).cast("bigint")).where(F.col(rank) <= n)
 
 
-def _best_of_pair(k: int):
+def best_of_pair(k: int):
+    """The k best vectors of each question of a block; where questions have ``lists``, of vectors whose ``list`` is one of them."""
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         qid, key, score = [], [], []
         if len(left) and len(right):
             q, x = (np.stack(side["embedding"].to_numpy()).astype(np.float64) for side in (left, right))
             q, x = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (q, x))
             own, names = right["key"].to_numpy(), left["qid"].to_numpy()
+            if "lists" in left:
+                lists, of = np.unique(right["list"].to_numpy(), return_inverse=True)
+                probed = left["lists"].to_numpy()
             # Some questions at a time, so that scores stay small.
             for first in range(0, len(q), 256):
-                for name, s in zip(names[first : first + 256], q[first : first + 256] @ x.T, strict=True):
+                scores = q[first : first + 256] @ x.T
+                if "lists" in left:
+                    scores[~np.stack([np.isin(lists, own_lists) for own_lists in probed[first : first + 256]])[:, of]] = -1.0
+                for name, s in zip(names[first : first + 256], scores, strict=True):
                     rounded = np.round(s, 9)
                     at = np.flatnonzero((s >= 0) & (rounded >= (np.partition(rounded, -k)[-k] if len(s) > k else -1)))
                     at = at[np.lexsort((own[at], -rounded[at]))[:k]]
@@ -86,7 +94,7 @@ def block_pairs(questions: DataFrame, vectors: DataFrame, k: int, *, by: list[st
     # Aliases, as both sides may come from one table.
     sent = vectors.join(wanted, by).select(*[F.col(c).alias(c) for c in (*both, "key", "embedding")])
     kinds = f"qid {questions.schema['qid'].dataType.simpleString()}, key bigint, score double"
-    return asked.groupBy(*both).cogroup(sent.groupBy(*both)).applyInPandas(_best_of_pair(k), kinds)
+    return asked.groupBy(*both).cogroup(sent.groupBy(*both)).applyInPandas(best_of_pair(k), kinds)
 
 
 def vector_top_k(vectors: DataFrame, questions: DataFrame, k: int, *, key: str = "vec_id", block_rows: int = 1 << 15, question_rows: int = 4096) -> DataFrame:

@@ -4,20 +4,23 @@ Vectors of length one are dealt to the nearest of a bounded number of centres,
 which are fitted on a bounded sample. A list of the index is one centre's
 vectors, cut into blocks so that a list that holds a third of all rows is
 shared out. A question is a row of a table: it is sent to the blocks of its
-nearest centres, and only k rows a question and block come back.
+nearest centres, and only k rows a question and block come back. Small lists share
+a block: a question goes there once, with the numbers of the lists that it probes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators.retrieval import block_pairs, top_n
+from marlstone.operators.graph import released, stored
+from marlstone.operators.retrieval import best_of_pair, top_n
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -44,6 +47,40 @@ def routed_rows(pdf: pd.DataFrame, centres: np.ndarray, wanted: int) -> Iterator
         yield pd.DataFrame({"qid": np.repeat(part["qid"].to_numpy(), wanted), "embedding": np.repeat(part["embedding"].to_numpy(), wanted), "list": near.ravel().astype("int32")})
 
 
+def grouped_rows(routed: pd.DataFrame, wanted: int, group_of: np.ndarray) -> pd.DataFrame:
+    """Of rows of ``routed_rows`` one for each question and group of lists, with its probed lists there; lists of group -1 have no vectors."""
+    at, group, lists = [], [], []
+    for i, row in enumerate(routed["list"].to_numpy().reshape(-1, wanted)):
+        row = row[np.argsort(group_of[row], kind="stable")]
+        own = group_of[row]
+        first = np.flatnonzero(np.diff(own, prepend=-2))
+        for g, part in zip(own[first], np.split(row, first[1:]), strict=True):
+            if g >= 0:
+                at.append(i * wanted)
+                group.append(g)
+                lists.append(part)
+    out = routed[["qid", "embedding"]].iloc[at].reset_index(drop=True)
+    return out.assign(group=np.array(group, "int32"), lists=pd.Series(lists, dtype=object))
+
+
+#: Blocks that lists are packed into on small indexes, so that tasks share them; rows that a block has at least for that, and at most.
+BLOCKS, LEAST_ROWS, BLOCK_ROWS = 24, 1 << 12, 1 << 15
+#: Questions that are searched at a time, at least and at most.
+QUESTION_ROWS = 1 << 12, 1 << 14
+
+
+def list_groups(sizes: dict[int, int], lists: int) -> np.ndarray:
+    """Group of each list: lists in a row share one up to a block's rows, a larger list has its own; -1 for lists without vectors."""
+    most = min(BLOCK_ROWS, max(LEAST_ROWS, sum(sizes.values()) // BLOCKS))
+    out, group, held = np.full(lists, -1), 0, 0
+    for i in sorted(sizes):
+        if held and held + sizes[i] > most:
+            group, held = group + 1, 0
+        out[i] = group
+        held += sizes[i]
+    return out
+
+
 def fit_centres(sample: np.ndarray, lists: int, *, rounds: int = 10, seed: int = 0) -> np.ndarray:
     """Spherical k-means over a sample of unit vectors; a centre that loses its last row takes a random one."""
     rng = np.random.default_rng(seed)
@@ -89,44 +126,65 @@ def build_index(vectors: DataFrame, path: str, *, key: str = "vec_id", column: s
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
     spark.createDataFrame([(fit_probes(sample, centres, recall=recall) if some else 0,)], "probes int").coalesce(1).write.parquet(f"{path}/probes")
 
+    # A list that holds more than a block by the sample has files for about as many blocks.
+    share = np.bincount((sample @ centres.T).argmax(axis=1), minlength=wanted) / len(sample) if some else np.zeros(wanted)
+    files = np.maximum(1, np.ceil(2 * share * n / block_rows)).astype(np.int64)
+
     def dealt(batches):
         for pdf in batches:
             if len(pdf):
                 pdf["list"] = nearest_list(pdf["embedding"], centres)
-                yield pdf[["list", "key", "embedding"]]
+                pdf["salt"] = (pd.util.hash_array(pdf["key"].to_numpy()) % files[pdf["list"]].astype(np.uint64)).astype("int32")
+                yield pdf[["list", "salt", "key", "embedding"]]
 
-    placed = rows.mapInPandas(dealt, "list int, key bigint, embedding array<float>")
-    # Two files a list at least where it is large; a hash deals its rows to blocks of their own.
-    blocks = max(1, -(-n // block_rows))
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    salted.repartition("list", "salt").write.partitionBy("list").parquet(f"{path}/vectors")
+    placed = rows.mapInPandas(dealt, "list int, salt int, key bigint, embedding array<float>")
+    with released(spark):
+        placed.repartition("list", "salt").write.partitionBy("list").parquet(f"{path}/vectors")
     written = spark.read.schema("key bigint, embedding array<float>, salt int, list int").parquet(f"{path}/vectors")
     written.groupBy("list").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).coalesce(1).write.parquet(f"{path}/sizes")
 
 
-def search_index(spark: SparkSession, path: str, questions: DataFrame, k: int, *, probes: int | None = None, key: str = "vec_id", question_rows: int = 4096) -> DataFrame:
+def search_index(spark: SparkSession, path: str, questions: DataFrame, k: int, *, probes: int | None = None, key: str = "vec_id", question_rows: int | None = None) -> DataFrame:
     """Nearest vectors of each question (qid, embedding) by cosine, from the index alone: qid, key, score, rank; negative scores are dropped.
 
     A question looks into the lists of its ``probes`` nearest centres (as many as the
     index was fitted for, unless given). No question reaches the driver; the centres do, whose
-    number is bounded. Only probed lists are read. Ties go to the lesser key.
+    number is bounded. Only probed lists are read. Ties go to the lesser key. About ``question_rows``
+    questions (a 64th of the index's rows within ``QUESTION_ROWS``, unless given) are searched at a time and their shuffle files given back
+    (the results are stored, unless all are searched at once), so the disk that is needed beside them grows with the index only.
     """
     centres = np.array([r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("list").collect()])
     asked = questions.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("qid", F.col("embedding").cast("array<float>").alias("embedding"))
     sizes = spark.read.parquet(f"{path}/sizes")
     wanted = min(len(centres), probes or spark.read.parquet(f"{path}/probes").first()["probes"])
     kind = asked.schema["qid"].dataType.simpleString()
+    held = {r["list"]: (r["n"], r["blocks"]) for r in sizes.collect()}
+    group_of = list_groups({i: n for i, (n, _) in held.items()}, len(centres))
+    blocks = dict.fromkeys(group_of.tolist(), 1)
+    # All lists of a group are cut alike.
+    for i, (_, n) in held.items():
+        blocks[group_of[i]] = max(blocks[group_of[i]], n)
+    places = spark.createDataFrame([(i, int(g), blocks[g]) for i, g in enumerate(group_of.tolist()) if g >= 0], "list int, group int, blocks int")
 
     def routed(batches):
         for pdf in batches:
             if len(pdf) and len(centres):
-                yield from routed_rows(pdf, centres, wanted)
-
-    probed = asked.mapInPandas(routed, f"qid {kind}, embedding array<float>, list int").join(F.broadcast(sizes.select("list", "blocks")), "list")
-    left = probed.select("qid", "embedding", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    # The lists that some question probes: at most as many numbers as there are centres.
-    lists = sorted(r["list"] for r in probed.select("list").distinct().collect())
-    rows = spark.read.schema("key bigint, embedding array<float>, salt int, list int").parquet(f"{path}/vectors").where(F.col("list").isin(lists))
-    right = rows.join(F.broadcast(sizes.select("list", "blocks")), "list").select("key", "embedding", "list", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"))
-    found = block_pairs(left, right, k, by=["list", "block"], question_rows=question_rows)
-    return top_n(found.withColumnRenamed("key", key), k, by=[F.round("score", 9).desc(), F.col(key)])
+                for frame in routed_rows(pdf, centres, wanted):
+                    yield grouped_rows(frame, wanted, group_of)
+
+    def searched(asked: DataFrame) -> DataFrame:
+        probed = asked.mapInPandas(routed, f"qid {kind}, embedding array<float>, group int, lists array<int>")
+        left = probed.join(F.broadcast(places.select("group", "blocks").distinct()), "group").select("qid", "embedding", "lists", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        # The lists that some question probes: at most as many numbers as there are centres.
+        lists = sorted(r["list"] for r in probed.select(F.explode("lists").alias("list")).distinct().collect())
+        rows = spark.read.schema("key bigint, embedding array<float>, salt int, list int").parquet(f"{path}/vectors").where(F.col("list").isin(lists))
+        right = rows.join(F.broadcast(places), "list").select("key", "embedding", "list", "group", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"))
+        found = left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInPandas(best_of_pair(k), f"qid {kind}, key bigint, score double")
+        return top_n(found.withColumnRenamed("key", key), k, by=[F.round("score", 9).desc(), F.col(key)])
+
+    question_rows = question_rows or min(QUESTION_ROWS[1], max(QUESTION_ROWS[0], sum(n for n, _ in held.values()) // 64))
+    parts = max(1, -(-asked.count() // question_rows))
+    if parts == 1:
+        return searched(asked)
+    some = [stored(searched(asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i))) for i in range(parts)]
+    return reduce(DataFrame.unionByName, some)
