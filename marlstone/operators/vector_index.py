@@ -38,6 +38,12 @@ def nearest_list(vectors: pd.Series, centres: np.ndarray) -> np.ndarray:
     return np.concatenate(own).astype("int32")
 
 
+def _own_list(sample: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The same for a sample of unit vectors."""
+    own = [(sample[i : i + SCORED_ROWS] @ centres.T).argmax(axis=1) for i in range(0, len(sample), SCORED_ROWS)]
+    return np.concatenate([np.zeros(0, np.int64), *own])
+
+
 def routed_rows(pdf: pd.DataFrame, centres: np.ndarray, wanted: int) -> Iterator[pd.DataFrame]:
     """A row for each question (qid, embedding) and each of its ``wanted`` nearest centres, in batches of about ``ROUTED_ROWS`` rows."""
     at_once = max(1, min(SCORED_ROWS, ROUTED_ROWS // wanted))
@@ -86,7 +92,7 @@ def fit_centres(sample: np.ndarray, lists: int, *, rounds: int = 10, seed: int =
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)].copy()
     for _ in range(rounds):
-        own = (sample @ centres.T).argmax(axis=1)
+        own = _own_list(sample, centres)
         total = np.zeros_like(centres)
         np.add.at(total, own, sample)
         empty = np.bincount(own, minlength=len(centres)) == 0
@@ -98,10 +104,14 @@ def fit_centres(sample: np.ndarray, lists: int, *, rounds: int = 10, seed: int =
 def fit_probes(sample: np.ndarray, centres: np.ndarray, *, recall: float, k: int = 20, questions: int = 500) -> int:
     """Lists to probe so that a sampled question meets the share ``recall`` of its k nearest other sampled vectors."""
     asked = sample[:: max(1, len(sample) // questions)]
-    own = (sample @ centres.T).argmax(axis=1)
-    score = asked @ sample.T
-    score[np.arange(len(asked)), np.arange(0, len(sample), max(1, len(sample) // questions))[: len(asked)]] = -np.inf
-    near = np.argsort(-score, axis=1)[:, : min(k, len(sample) - 1)]
+    own = _own_list(sample, centres)
+    # Some questions at a time, so that the driver holds few scores.
+    near = []
+    for i in range(0, len(asked), 32):
+        score = asked[i : i + 32] @ sample.T
+        score[np.arange(len(score)), np.arange(0, len(sample), max(1, len(sample) // questions))[i : i + len(score)]] = -np.inf
+        near.append(np.argsort(-score, axis=1)[:, : min(k, len(sample) - 1)].copy())
+    near = np.concatenate(near)
     place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)
     needed = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
     return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1 if len(needed) else len(centres)
@@ -121,13 +131,14 @@ def build_index(vectors: DataFrame, path: str, *, key: str = "vec_id", column: s
     wanted = min(most_lists, lists or max(1, math.isqrt(n)))
     some = [r["embedding"] for r in rows.where(F.rand(11) < min(1.0, sampled / max(1, n))).select("embedding").collect()] or [r["embedding"] for r in rows.select("embedding").limit(1).collect()]
     sample = _unit(pd.Series(some)) if some else np.zeros((0, 1))
+    some = len(some)
     centres = fit_centres(sample, wanted) if some else sample
     spark = vectors.sparkSession
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
     spark.createDataFrame([(fit_probes(sample, centres, recall=recall) if some else 0,)], "probes int").coalesce(1).write.parquet(f"{path}/probes")
 
     # A list that holds more than a block by the sample has files for about as many blocks.
-    share = np.bincount((sample @ centres.T).argmax(axis=1), minlength=wanted) / len(sample) if some else np.zeros(wanted)
+    share = np.bincount(_own_list(sample, centres), minlength=wanted) / len(sample) if some else np.zeros(wanted)
     files = np.maximum(1, np.ceil(2 * share * n / block_rows)).astype(np.int64)
 
     def dealt(batches):
